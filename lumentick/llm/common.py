@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     """Consecutive pieces of ``batch`` whose ``column`` holds at most ``most_bytes`` (or one row)."""
     a = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(a), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(a), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
     for i, s in enumerate(sizes):
         if i > begin and total + s > most_bytes:
@@ -101,7 +102,7 @@ class Words:
 
     def __init__(self, column: pa.Array, lower: bool = False):
         a = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
-        a = pa.compute.fill_null(a, b"")
+        a = pc.fill_null(a, b"")
         off = np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset : a.offset + len(a) + 1]
         data = a.buffers()[2]
         raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
@@ -121,13 +122,19 @@ class Words:
         self.start = np.flatnonzero(~white & first[:n])
         self.end = np.flatnonzero(~white & last) + 1
         self.bounds = np.searchsorted(self.start, self.offsets)
+        self._run: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
+        return self.ranges(self.start, self.end)
+
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the bytes in each range."""
         n = len(self.buf)
-        if not len(self.start):
+        if not len(start):
             return np.zeros(0, np.uint64)
-        run = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.buf] * _power("up", _BASE, n)[:n], out=run[1:])
-        h = (run[self.end] - run[self.start]) * _power("down", _INVERSE, n)[self.start]
-        return mix(h ^ ((self.end - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        if self._run is None:
+            self._run = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[self.buf] * _power("up", _BASE, n)[:n], out=self._run[1:])
+        h = (self._run[end] - self._run[start]) * _power("down", _INVERSE, n + 1)[start]
+        return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
