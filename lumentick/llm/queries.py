@@ -37,6 +37,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import rendered
+
+    return rendered(table(spark, sf_dir, "pages"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,11 +57,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op4_quality_rules, op5_source_mixing, op7_token_records, op8_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op4_quality_rules, op5_source_mixing, op6_html_extraction, op7_token_records, op8_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, mixing
+    from . import decontam, mixing, warc
 
-    return {"op5_source_mixing": mixing.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL}
+    return {"op5_source_mixing": mixing.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
