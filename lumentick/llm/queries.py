@@ -57,6 +57,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -64,7 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op4_quality_rules, op5_source_mixing, op6_html_extraction, op7_token_records, op8_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op4_quality_rules, op5_source_mixing, op6_html_extraction, op7_token_records, op8_decontamination, op9_lm_scores, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
