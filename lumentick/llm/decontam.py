@@ -111,6 +111,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share:
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns as they are.
+
+    The contaminated rows' keys are broadcast if they are at most ``broadcast_rows``; else the join shuffles.
+    """
+    bad = stored(contaminated(docs, benchmark, window, share).where("contaminated").select("row", F.coalesce("doc_id", F.lit(-1)).alias("id")).distinct(), "contaminated")
+    bad = bad.select(F.col("row").alias("__row"), F.col("id").alias("__id"))
+    same = (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__row")) & (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("__id"))
+    return docs.join(F.broadcast(bad) if bad.count() <= broadcast_rows else bad, same, "left_anti")
+
+
 def proximity(docs: DataFrame, benchmark: DataFrame, distance: int = 20) -> DataFrame:
     """(doc_id, item_id, begin, end) where the two rarest known terms of an item stand within ``distance`` words.
 

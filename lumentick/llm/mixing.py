@@ -43,34 +43,32 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     return t.select("src", "source_size", target.alias("target"))
 
 
-def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row of ``docs``.
-
-    Within a source every document is expected ``target / source_size`` times. The rows are ordered by
-    size class (powers of two in eight parts, larger first), then by the id's hash; the expected copies
-    are summed up in that order from one random offset, and a document is emitted once for each whole
-    number that its share crosses. So each size class has its due share, and the words taken come near
-    the target.
-
-    The prefix sum has two levels: rows are counted by (source, size class, leading digits of the hash),
-    these few counts are summed up within a source, and only then rows are numbered inside their small
-    group; no task ever holds a whole source.
-
-    Defined results: null and empty texts have size 0 and take nothing; a null source is a source; null
-    ids are sampled as any other; repeated rows are rows of their own; an empty table gives an empty result.
-    """
-    # Class and hash order are plain strings and md5 digits, so that SQL elsewhere gives the same order.
+def _sized(docs: DataFrame, *carried: Column) -> DataFrame:
+    """The sampling order of each row: size class and hash are plain strings, so that SQL elsewhere gives the same."""
     bits = F.bin("size")
     rows = docs.select(
-        "doc_id", "source", _source_key().alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")
-    ).withColumn("class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 4)))
-    rows = stored(rows, "sizes")
-    n = rows.count()
+        F.col("doc_id"), F.col("source"), _source_key().alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), *carried,
+    )
+    return rows.withColumn("class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 4)))
+
+
+def _digits(n: int) -> int:
+    """Leading digits of the hash that split a size class, so that a group stays small."""
     digits = 0
     while n > 2000 * 16**digits and digits < 5:
         digits += 1
-    rows = rows.withColumn("g", F.substring("h", 1, digits) if digits else F.lit(""))
-    groups = stored(rows.groupBy("src", "class", "g").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("size")), "groups")
+    return digits
+
+
+def _sampled(rows: DataFrame, slim: DataFrame, seed: str, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """``rows`` with source_size, target and copies; ``slim`` has the same rows' (src, source, class, h, size), stored."""
+    digits = _digits(slim.count())
+
+    def grouped(t: DataFrame) -> DataFrame:
+        return t.withColumn("g", F.substring("h", 1, digits) if digits else F.lit(""))
+
+    groups = stored(grouped(slim).groupBy("src", "class", "g").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("size")), "groups")
     goal = targets(groups.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), weights, share, most)
     classes = groups.groupBy("src", "class").agg(F.sum("n").alias("n"))
     by_class = Window.partitionBy("src").orderBy(F.col("class").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -78,13 +76,41 @@ def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS
     by_group = Window.partitionBy("src", "class").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     at = groups.select("src", "class", "g", F.coalesce(F.sum("n").over(by_group), F.lit(0)).alias("group_at")).join(classes, ["src", "class"])
     inside = Window.partitionBy("src", "class", "g").orderBy("h", "doc_id", "size")
-    numbered = rows.withColumn("i", F.row_number().over(inside) - 1).join(at, ["src", "class", "g"])
+    numbered = grouped(rows).withColumn("i", F.row_number().over(inside) - 1).join(at, ["src", "class", "g"])
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("src")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     first = (F.col("class_at") + F.col("group_at") + F.col("i")).cast("double")
     crossed = F.floor((first + F.lit(1.0)) * rate + offset) - F.floor(first * rate + offset)
-    copies = F.least(F.greatest(crossed, F.lit(0)), F.ceil(F.lit(float(most)))).cast("long")
-    return numbered.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return numbered.withColumn("copies", F.least(F.greatest(crossed, F.lit(0)), F.ceil(F.lit(float(most)))).cast("long"))
+
+
+def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row of ``docs``.
+
+    Within a source every document is expected ``target / source_size`` times. The rows are ordered by
+    size class (powers of two in eight parts, larger first), then by the id's hash; the expected copies
+    are summed up in that order from one random offset, and a document is emitted once for each whole
+    number that its share crosses. So each size class has its due share, and the words taken come near
+    the target.
+
+    The prefix sum has two levels: rows are counted by (source, size class, leading digits of the hash),
+    these few counts are summed up within a source, and only then rows are numbered inside their small
+    group; no task ever holds a whole source.
+
+    Defined results: null and empty texts have size 0 and take nothing; a null source is a source; null
+    ids are sampled as any other; repeated rows are rows of their own; an empty table gives an empty result.
+    """
+    rows = stored(_sized(docs), "sizes")
+    out = _sampled(rows, rows, seed, weights, share, most)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def resampled(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, each as often as it has copies, all columns as they are."""
+    slim = stored(_sized(docs), "sizes")
+    rows = _sized(docs, F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    out = _sampled(rows, slim, seed, weights, share, most).where("copies > 0")
+    return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -25,6 +25,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import components
+
+    return components(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import rules
 
@@ -70,7 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op4_quality_rules, op5_source_mixing, op6_html_extraction, op7_token_records, op8_decontamination, op9_lm_scores, op10_warc)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_jaccard_join, op4_quality_rules, op5_source_mixing, op6_html_extraction, op7_token_records, op8_decontamination, op9_lm_scores, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
