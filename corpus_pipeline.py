@@ -1,8 +1,48 @@
-"""The corpus pipeline; its stages follow with their operators."""
+"""A training corpus from the tables of one folder, stage by stage."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lumentick.llm import binfmt, decontam, jaccard, mixing, quality
+from lumentick.llm.common import stored
+from lumentick.llm.queries import table
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts."""
+    return quality.filtered(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.representatives(docs)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that don't hold benchmark text."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them."""
+    return mixing.resampled(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The corpus as token records: where each document's ids begin, how many they are, and their checksum."""
+    return binfmt.token_records(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", unseen), ("mixing", weighted), ("token_records", encoded)]
+
+#: The classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
