@@ -1,12 +1,101 @@
-"""Delivery contracts over ordered rows: last value, every event, history."""
+"""Delivery contracts over ordered rows: last value, every event, history.
+
+Arrival order is always an explicit column. Subscriptions are DataFrames of keys.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows kept for each key unless told otherwise.
+RETENTION = {"candle": 8000, "time_series": 1000}
+
 
 def ticker_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row of each key; ``order`` is the arrival order and must be total within a key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The newest row of each key; ``order`` is the arrival order and must be total within a key.
+
+    The aggregate combines before the shuffle, so a hot key sends one row a task.
+    """
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    newest = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("__r")) if _orderable(rows, rest) else rows.groupBy(*keys).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("__r"))
+    return newest.select(*[c if c in keys else F.col("__r")[c].alias(c) for c in rows.columns])
+
+
+def _orderable(rows: DataFrame, columns: list[str]) -> bool:
+    return all(rows.schema[c].dataType.typeName() not in ("map", "variant") for c in columns)
+
+
+def ticker_changes(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Rows that differ from the key's row before them; the first row of a key always does."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    now = F.struct(*values)
+    return rows.withColumn("__p", F.lag(now).over(w)).where(~F.col("__p").eqNullSafe(now)).drop("__p")
+
+
+def subscribed(rows: DataFrame, subscription: DataFrame, record: str = "record", symbol: str = "symbol", wildcard: str = "*") -> DataFrame:
+    """Every row that some subscription (record, symbol) asks for, once; the wildcard symbol asks for all of a record."""
+    exact = subscription.where(F.col("symbol") != wildcard).select(F.col("record").alias(record), F.col("symbol").alias(symbol)).distinct()
+    whole = subscription.where(F.col("symbol") == wildcard).select(F.col("record").alias(record), F.lit(True).alias("__all")).distinct()
+    marked = rows.join(whole, record, "left").join(exact.withColumn("__one", F.lit(True)), [record, symbol], "left")
+    return marked.where(F.col("__all") | F.col("__one")).select(*rows.columns)
+
+
+def subscribed_from(rows: DataFrame, subscription: DataFrame, key: str, time: str, from_time: str = "from_time") -> DataFrame:
+    """Rows of subscribed keys from the subscription's time on; the earliest of a key's subscriptions counts."""
+    first = subscription.groupBy(key).agg(F.min(from_time).alias("__from"))
+    return rows.join(first, key).where(F.col(time) >= F.col("__from")).select(*rows.columns)
+
+
+def removed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose keys are not among ``keys``."""
+    return rows.join(keys.select(*on).distinct(), on, "left_anti")
+
+
+def history(rows: DataFrame, keys: list[str], time: str, arrival: list[str], remove: Column | None = None) -> DataFrame:
+    """One row for each (key, time): the last to arrive; where that is a removal, none."""
+    last = ticker_last(rows if remove is None else rows.withColumn("__gone", remove), [*keys, time], arrival)
+    return last if remove is None else last.where(~F.col("__gone")).drop("__gone")
+
+
+def retained(rows: DataFrame, keys: list[str], time: list[str], most: int) -> DataFrame:
+    """The newest ``most`` rows of each key."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in time])
+    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
+def scanned(rows: DataFrame, keys: list[str], time: str, start: Column, end: Column, descending: bool = False) -> DataFrame:
+    """Rows with time in the inclusive range, with their place ``position`` in the direction of the scan."""
+    inside = rows.where(F.col(time).between(start, end) if not descending else F.col(time).between(end, start))
+    w = Window.partitionBy(*keys).orderBy(F.col(time).desc() if descending else F.col(time))
+    return inside.withColumn("position", F.row_number().over(w).cast("long"))
+
+
+def available(rows: DataFrame, keys: list[str], time: str, start: Column, end: Column) -> DataFrame:
+    """Least and greatest time of each key, and the number of rows in the inclusive range."""
+    return rows.groupBy(*keys).agg(F.min(time).alias("min_time"), F.max(time).alias("max_time"), F.count_if(F.col(time).between(start, end)).alias("available"))
+
+
+def snapshots(rows: DataFrame, keys: list[str], arrival: str, begin: Column, snip: Column, time: str) -> DataFrame:
+    """History after its last snapshot: each BEGIN starts anew, a SNIP drops what is older than its time.
+
+    A new snapshot replaces the range that it covers, from its first row's time down to its last one's;
+    stored rows of that range which it doesn't send again are swept. Rows outside stay.
+    """
+    order = Window.partitionBy(*keys).orderBy(arrival)
+    t = rows.withColumn("__s", F.sum(begin.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    span = Window.partitionBy(*keys, "__s")
+    t = t.withColumn("__low", F.min(time).over(span)).withColumn("__high", F.max(time).over(span)).withColumn("__snip", F.max(F.when(snip, F.col(time))).over(span))
+    # A row is swept by the first later snapshot whose range holds its time without sending it again.
+    last = ticker_last(t, [*keys, time], [arrival])
+    ranges = t.where("__s > 0").groupBy(*keys, F.col("__s").alias("__s2")).agg(F.min("__low").alias("__l2"), F.max("__high").alias("__h2"), F.max("__snip").alias("__n2"))
+    later = last.join(ranges, keys).where((F.col("__s2") > F.col("__s")) & ((F.col(time).between(F.col("__l2"), F.col("__h2"))) | (F.col(time) < F.col("__n2"))))
+    swept = later.select(*keys, time).distinct()
+    kept = last.join(swept, [*keys, time], "left_anti").where(F.col("__snip").isNull() | (F.col(time) >= F.col("__snip")))
+    return kept.select(*rows.columns)
+
+
+def transactions(rows: DataFrame, keys: list[str], arrival: str, pending: Column) -> DataFrame:
+    """Adds ``tx``: the number of rows before this one that closed a transaction (those not pending)."""
+    before = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("tx", F.coalesce(F.sum((~pending).cast("long")).over(before), F.lit(0)).cast("long"))

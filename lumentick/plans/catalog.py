@@ -1,33 +1,563 @@
-"""Named queries of the library and the SQL that gives the same rows."""
+"""Named queries of the library over the driver's tables, and the SQL that gives the same rows.
+
+Ticks come from ``events`` (symbol = user, record = event type) and, with sizes, from ``lineitem``
+(symbol = part); quotes, books and profiles are derived from the other tables in a fixed way.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumentick.operators import contracts
+from lumentick.functions import calendar, codes, fields, filters, lists, prices, symbols, times
+from lumentick.operators import analysis, bars, book, chains, contracts, ordering, profiles, transactions
+from lumentick.plans import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticker_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.ticker_last(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"])
+# Stand-ins for market tables.
 
 
-TICKER_LAST = """
-select user_id, event_type, ts, event_id, value from events
-qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1
-"""
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def ticks(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+
+
+TICKS = "ticks as (select event_type symbol, ts, event_id seq, value price, 1.0::double size from events)"
+
+
+def sales(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"), seq.alias("seq"), F.floor("l_extendedprice").cast("double").alias("price"), F.col("l_quantity").alias("size"), F.col("l_returnflag").alias("exchange"))
+
+
+SALES = "sales as (select l_partkey::varchar symbol, l_shipdate ts, l_orderkey * 10 + l_linenumber seq, floor(l_extendedprice) price, l_quantity size, l_returnflag exchange from lineitem)"
+
+
+def orders_book(spark: SparkSession, d: str) -> DataFrame:
+    pr = F.substring("o_orderpriority", 1, 1)
+    scope = F.when(pr == "1", "COMPOSITE").when(pr == "2", "REGIONAL").when(pr == "3", "AGGREGATE").otherwise("ORDER")
+    return table(spark, d, "orders").select(
+        (F.col("o_custkey") % 50).alias("symbol"), F.when(F.col("o_orderstatus") == "F", "BUY").otherwise("SELL").alias("side"), scope.alias("scope"), F.substring("o_orderstatus", 1, 1).alias("exchange"),
+        F.when(F.col("o_custkey") % 3 > 0, (F.col("o_custkey") % 7).cast("string")).alias("market_maker"), F.floor("o_totalprice").cast("double").alias("price"), (F.col("o_orderkey") % 9).cast("double").alias("size"),
+        F.col("o_orderdate").alias("time"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("index"),
+    )
+
+
+BOOK = """book0 as (select o_custkey % 50 symbol, case when o_orderstatus = 'F' then 'BUY' else 'SELL' end side,
+ case substr(o_orderpriority, 1, 1) when '1' then 'COMPOSITE' when '2' then 'REGIONAL' when '3' then 'AGGREGATE' else 'ORDER' end scope, substr(o_orderstatus, 1, 1) exchange,
+ coalesce(case when o_custkey % 3 > 0 then (o_custkey % 7)::varchar end, '') market_maker, floor(o_totalprice) price, (o_orderkey % 9)::double size, o_orderdate time, o_orderkey seq, o_orderkey "index" from orders),
+book as (select * from book0 where size <> 0 or scope = 'COMPOSITE')"""
+SIDE = "partition by symbol, side"
+BOOK_ORDER = """order by case when side = 'BUY' then -price else price end, case when scope = 'ORDER' then 1 else 0 end, case when scope = 'ORDER' then time end, case when scope = 'ORDER' then seq end,
+ case when scope = 'ORDER' then "index" end, size desc, time, seq, list_position(['COMPOSITE', 'REGIONAL', 'AGGREGATE', 'ORDER'], scope), exchange, market_maker, "index\""""
+
+
+def flagged(spark: SparkSession, d: str) -> DataFrame:
+    """Indexed events with flags, from orders: BEGIN, END, PENDING and REMOVE by remainders of the key."""
+    k = F.col("o_orderkey")
+    bit = lambda c, v: F.when(c, F.lit(v)).otherwise(0)
+    flags = bit(k % 13 == 0, 4) + bit(k % 13 == 5, 8) + bit(k % 4 == 1, 1) + bit(k % 6 == 2, 2)
+    return table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("symbol"), k.alias("arrival"), (k % 11).alias("index"), F.col("o_totalprice").alias("value"), flags.cast("int").alias("flags"))
+
+
+FLAGGED = """flagged as (select o_custkey % 20 symbol, o_orderkey arrival, o_orderkey % 11 "index", o_totalprice "value",
+ ((case when o_orderkey % 13 = 0 then 4 else 0 end) + (case when o_orderkey % 13 = 5 then 8 else 0 end) + (case when o_orderkey % 4 = 1 then 1 else 0 end) + (case when o_orderkey % 6 = 2 then 2 else 0 end))::int flags from orders)"""
+RELEASED = FLAGGED + """, s1 as (select *, sum((flags & 4 <> 0)::int) over (partition by symbol order by arrival) segment from flagged),
+s2 as (select *, (segment = 0 or max((flags & 8 <> 0)::int) over (partition by symbol, segment order by arrival) = 1) and flags & 1 = 0 rel from s1),
+s3 as (select *, sum(rel::int) over (partition by symbol, segment order by arrival rows between current row and unbounded following) later,
+ coalesce(sum(rel::int) over (partition by symbol, segment order by arrival rows between unbounded preceding and 1 preceding), 0)::bigint tx from s2),
+released as (select symbol, arrival, "index", "value", flags, segment::bigint segment, tx, segment > 0 and tx = 0 snapshot from s3 where later > 0)"""
+
+
+def instruments(spark: SparkSession, d: str) -> DataFrame:
+    """Option profiles from parts."""
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(
+        F.concat(F.lit("."), F.col("p_brand"), k.cast("string")).alias("symbol"), F.when(k % 5 == 0, "FUTURE").otherwise("OPTION").alias("type"), F.when(k % 2 == 0, "OCASPS").when(k % 7 == 0, "FXXXXX").otherwise("OPASPS").alias("cfi"),
+        F.col("p_brand").alias("underlying"), F.when(k % 3 == 0, F.col("p_type")).otherwise("").alias("product"), (F.col("p_size") % 4).cast("long").alias("expiration"), F.floor("p_retailprice").cast("double").alias("strike"), F.lit(100.0).alias("multiplier"), F.col("p_name").alias("description"), k.alias("arrival"),
+    )
+
+
+INSTRUMENTS = """inst as (select '.' || p_brand || p_partkey::varchar symbol, case when p_partkey % 5 = 0 then 'FUTURE' else 'OPTION' end "type",
+ case when p_partkey % 2 = 0 then 'OCASPS' when p_partkey % 7 = 0 then 'FXXXXX' else 'OPASPS' end cfi, p_brand underlying, case when p_partkey % 3 = 0 then p_type else '' end product,
+ (p_size % 4)::bigint expiration, floor(p_retailprice) strike, 100.0::double multiplier, p_name description, p_partkey arrival from part)"""
+
+
+# Contracts.
+
+
+@query("select user_id, event_type, ts, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1")
+def ticker_last(spark, d):
+    return contracts.ticker_last(events(spark, d), ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@query("select event_id, ts, user_id, event_type, value from events qualify lag(value) over (partition by user_id, event_type order by event_id) is distinct from value")
+def ticker_changes(spark, d):
+    return contracts.ticker_changes(events(spark, d), ["user_id", "event_type"], ["event_id"], ["value"])
+
+
+@query("""select event_id, ts, user_id, event_type, value from events where event_type = 'error'
+ or (event_type = 'purchase' and exists (select 1 from customer where c_custkey = user_id and c_mktsegment = 'BUILDING'))""")
+def stream_subscribed(spark, d):
+    one = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.lit("purchase").alias("record"), F.col("c_custkey").cast("string").alias("symbol"))
+    sub = one.union(spark.createDataFrame([("error", "*")], "record string, symbol string"))
+    rows = events(spark, d).withColumn("symbol", F.col("user_id").cast("string"))
+    return contracts.subscribed(rows, sub, "event_type").drop("symbol")
+
+
+@query("""with l as (select *, date_trunc('hour', ts)::timestamp "hour" from events)
+select user_id, "hour", event_id, event_type, value from l qualify row_number() over (partition by user_id, "hour" order by event_id desc) = 1 and event_type <> 'error'""")
+def history_upsert(spark, d):
+    rows = events(spark, d).withColumn("hour", bars.slice_start("ts", 3600)).drop("ts")
+    return contracts.history(rows, ["user_id"], "hour", ["event_id"], F.col("event_type") == "error").select("user_id", "hour", "event_id", "event_type", "value")
+
+
+@query("select user_id, event_id, row_number() over (partition by user_id order by event_id)::bigint as \"position\" from events where event_id between 100 and 700")
+def history_range(spark, d):
+    return contracts.scanned(events(spark, d).select("user_id", "event_id"), ["user_id"], "event_id", F.lit(100), F.lit(700))
+
+
+@query("select user_id, event_id, row_number() over (partition by user_id order by event_id desc)::bigint as \"position\" from events where event_id between 100 and 700")
+def history_range_descending(spark, d):
+    return contracts.scanned(events(spark, d).select("user_id", "event_id"), ["user_id"], "event_id", F.lit(700), F.lit(100), descending=True)
+
+
+@query("select user_id, min(event_id) min_time, max(event_id) max_time, count(*) filter (where event_id between 100 and 700) available from events group by user_id")
+def history_available(spark, d):
+    return contracts.available(events(spark, d), ["user_id"], "event_id", F.lit(100), F.lit(700))
+
+
+@query("select user_id, ts, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 5")
+def history_retention(spark, d):
+    return contracts.retained(events(spark, d).select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], 5)
+
+
+@query("""select e.user_id, e.event_id, e.ts from events e join (select o_custkey user_id, min(o_orderkey) f from orders group by 1) s using (user_id) where e.event_id >= s.f""")
+def history_from_time(spark, d):
+    sub = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("from_time"))
+    return contracts.subscribed_from(events(spark, d).select("user_id", "event_id", "ts"), sub, "user_id", "event_id")
+
+
+@query("select user_id, event_id from events where not exists (select 1 from customer where c_custkey = user_id and c_acctbal < 0)")
+def data_removal(spark, d):
+    gone = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    return contracts.removed(events(spark, d).select("user_id", "event_id"), gone, ["user_id"])
+
+
+@query("""select user_id, event_id, event_type, coalesce(count(*) filter (where event_type <> 'view') over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0)::bigint tx from events""")
+def history_transactions(spark, d):
+    return contracts.transactions(events(spark, d).select("user_id", "event_id", "event_type"), ["user_id"], "event_id", F.col("event_type") == "view")
+
+
+@query()
+def history_snapshots(spark, d):
+    rows = flagged(spark, d)
+    return contracts.snapshots(rows, ["symbol"], "arrival", codes.has_flag(F.col("flags"), 4), codes.has_flag(F.col("flags"), 16), "index")
+
+
+@query("""with v as (select user_id, event_id, value from events where event_type = 'view')
+select p.user_id, p.event_id, p.value, v.value quote from (select * from events where event_type = 'purchase') p asof left join v on p.user_id = v.user_id and p.event_id >= v.event_id""")
+def asof_last(spark, d):
+    e = events(spark, d).select("user_id", "event_id", "event_type", "value")
+    left = e.where("event_type = 'purchase'").select("user_id", "event_id", "value")
+    right = e.where("event_type = 'view'").select("user_id", "event_id", F.col("value").alias("quote"))
+    return ordering.asof(left, right, ["user_id"], "event_id", ["quote"], F.floor(F.col("event_id") / 1000))
+
+
+@query("select c_custkey user_id, e.event_type, coalesce(e.event_id, 0) event_id, e.value from customer left join (select * from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) e on user_id = c_custkey")
+def feed_last_events(spark, d):
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return feed.last_events(events(spark, d), wanted, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", F.coalesce("event_id", F.lit(0)).alias("event_id"), "value")
+
+
+@query("select event_id, ts, user_id, event_type, value from events where user_id % 10 = 3 and event_id between 50 and 900 and event_type <> 'error'")
+def feed_time_series(spark, d):
+    return feed.time_series(events(spark, d), F.col("user_id") % 10 == 3, "event_id", F.lit(50), F.lit(900), F.col("event_type") == "error")
+
+
+@query("select user_id, event_id, value from events where event_id <= 600 qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def feed_as_of(spark, d):
+    return feed.as_of(events(spark, d).select("user_id", "event_id", "value"), ["user_id"], ["event_id"], F.lit(600))
+
+
+# Bars.
+
+OHLC = """min_by(price, (ts, seq)) "open", max(price) high, min(price) low, max_by(price, (ts, seq)) "close", count(*) "count", floor(sum(size) * 10000.0::double + 0.5::double) / 10000.0::double volume,
+ coalesce(floor(sum(price * size) / nullif(sum(size), 0) * 10000.0::double + 0.5::double) / 10000.0::double, 0) vwap"""
+OHLC = OHLC.replace("(ts, seq)", "row(ts, seq)")
+
+
+@query(f"with {SALES} select symbol, time_bucket(interval '7 days', ts, timestamp '1970-01-01') as \"start\", {OHLC} from sales group by all")
+def bars_time(spark, d):
+    return bars.time_bars(sales(spark, d), 7 * 86400)
+
+
+@query(f"with {SALES}, n as (select *, row_number() over (partition by symbol order by ts, seq) n from sales) select symbol, ((n - 1) // 10)::bigint bar, {OHLC} from n group by all")
+def bars_tick(spark, d):
+    return bars.tick_bars(sales(spark, d), 10, F.trunc("ts", "year"))
+
+
+@query(f"with {SALES}, n as (select *, sum(size) over (partition by symbol order by ts, seq) v from sales) select symbol, floor((v - size) / 100.0::double)::bigint bar, {OHLC} from n group by all")
+def bars_volume(spark, d):
+    return bars.volume_bars(sales(spark, d), 100.0, F.trunc("ts", "year"))
+
+
+@query(f"with {SALES} select symbol, time_bucket(interval '7 days', ts, timestamp '1970-01-01') as \"start\", floor(price / 5000.0::double) * 5000.0::double \"level\", {OHLC} from sales group by all")
+def bars_level(spark, d):
+    return bars.level_bars(sales(spark, d), 7 * 86400, 5000.0)
+
+
+@query(f"""with {TICKS}, s as (select *, date_trunc('day', ts)::timestamp + interval '9 hours 30 minutes' o from ticks where isodow(ts) < 6)
+select symbol, o + to_seconds(floor(epoch(ts - o) / 1800)::bigint * 1800) as "start", {OHLC} from s where ts >= o and ts < o + interval '6 hours 30 minutes' group by all""")
+def bars_session(spark, d):
+    t = ticks(spark, d)
+    days = t.select(F.to_date("ts").alias("day")).distinct().where(F.weekday("day") < 5)
+    at = lambda h, m: F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(h), mins=F.lit(m))
+    return bars.session_bars(t, days.select("day", at(9, 30).alias("open"), at(16, 0).alias("close")), 1800)
+
+
+@query(f"with {TICKS} select symbol, floor(epoch(ts))::bigint * 4294967296 + seq \"index\", price \"open\", price high, price low, price \"close\", 1::bigint \"count\", size volume from ticks")
+def candles_tick(spark, d):
+    return bars.tick_candles(ticks(spark, d))
+
+
+@query(f"""with {SALES}, b as (select symbol, time_bucket(interval '30 days', ts, timestamp '1970-01-01') s, sum(size) v, sum(price * size) pv from sales group by all),
+g as (select symbol, unnest(generate_series(min(s), max(s), interval '30 days')) s from b group by symbol), j as (select g.symbol, g.s, coalesce(v, 0) v, coalesce(pv, 0) pv from g left join b using (symbol, s))
+select symbol, s as "start", v volume, coalesce(floor(pv / nullif(v, 0) * 10000.0::double + 0.5::double) / 10000.0::double, 0) vwap, sum(v) over (partition by symbol order by s) total_volume from j""")
+def slices_vwap(spark, d):
+    return bars.filled_slices(sales(spark, d), 30 * 86400)
+
+
+@query("""select event_id, user_id, value, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as "period", ts from events
+qualify row_number() over (partition by user_id, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') order by ts desc, event_id desc) = 1""")
+def conflated_period(spark, d):
+    return bars.conflated(events(spark, d).select("event_id", "ts", "user_id", "value"), ["user_id"], ["ts", "event_id"], 6 * 3600)
+
+
+@query()
+def bars_range(spark, d):
+    return bars.price_bars(ticks(spark, d), "range", 50.0)
+
+
+@query()
+def bars_momentum(spark, d):
+    return bars.price_bars(ticks(spark, d), "momentum", 50.0)
+
+
+@query()
+def bars_renko(spark, d):
+    return bars.price_bars(ticks(spark, d), "renko", 50.0)
+
+
+# Books.
+
+
+@query(f"with {BOOK} select symbol, side, seq, price, size, row_number() over ({SIDE} {BOOK_ORDER})::bigint \"level\" from book")
+def book_sorted(spark, d):
+    return book.sorted_book(book.book(orders_book(spark, d))).select("symbol", "side", "seq", "price", "size", "level")
+
+
+@query(f"""with {BOOK}, f as (select *, max((scope = 'ORDER')::int) over ({SIDE}, exchange, market_maker) o, max((scope in ('ORDER', 'AGGREGATE'))::int) over ({SIDE}, exchange) f, max((scope <> 'COMPOSITE')::int) over ({SIDE}) x from book)
+select symbol, side, scope, exchange, market_maker, seq from f where not ((scope = 'AGGREGATE' and o = 1) or (scope = 'REGIONAL' and f = 1) or (scope = 'COMPOSITE' and x = 1))""")
+def book_visible(spark, d):
+    return book.visible(book.book(orders_book(spark, d))).select("symbol", "side", "scope", "exchange", "market_maker", "seq")
+
+
+@query(f"with {BOOK} select symbol, max(price) filter (where side = 'BUY') bid, min(price) filter (where side <> 'BUY') ask, coalesce(max(price) filter (where side = 'BUY') < min(price) filter (where side <> 'BUY'), false) \"valid\" from book group by symbol")
+def book_best(spark, d):
+    return book.best(book.book(orders_book(spark, d)))
+
+
+@query(f"with {BOOK} select symbol, side, scope, seq, case when scope = 'ORDER' then size else size * 100.0::double end size from book where scope in ('AGGREGATE', 'REGIONAL', 'COMPOSITE')")
+def book_lots(spark, d):
+    return book.book(orders_book(spark, d), "COMPOSITE_REGIONAL_AGGREGATE", 100.0).select("symbol", "side", "scope", "seq", "size")
+
+
+@query(f"""with {BOOK}, b as (select *, coalesce(sum(size) over ({SIDE} {BOOK_ORDER} rows between unbounded preceding and 1 preceding), 0) c from book), t as (select *, greatest(least(size, 20.0::double - c), 0) k from b)
+select symbol, side, sum(k) filled, floor(sum(k * price) / nullif(sum(k), 0) * 10000.0::double + 0.5::double) / 10000.0::double price from t group by symbol, side""")
+def book_price_for_size(spark, d):
+    return book.price_for_size(book.book(orders_book(spark, d)), 20.0)
+
+
+@query(f"""with {BOOK}, t as (select *, case when side = 'BUY' then max(price) over ({SIDE}) else min(price) over ({SIDE}) end top from book)
+select symbol, side, seq, abs(price - top) > top * (case when top < 1000 then 0.5::double when top < 100000 then 0.2::double else 0.1::double end) outlier from t""")
+def book_outliers(spark, d):
+    return book.outliers(book.book(orders_book(spark, d)), [(1000.0, 0.5), (100000.0, 0.2), (1e12, 0.1)]).select("symbol", "side", "seq", "outlier")
+
+
+@query(f"""with {SALES}, q as (select symbol, exchange, ts "time", seq, price * 0.5::double bid, price * 2.0::double ask, size from sales)
+select symbol, exchange, "time", seq, 'COMPOSITE' scope, 'BUY' side, bid price, size from q union all select symbol, exchange, "time", seq, 'COMPOSITE', 'SELL', ask, size from q""")
+def orders_from_quotes(spark, d):
+    q = sales(spark, d).select("symbol", "exchange", F.col("ts").alias("time"), "seq", (F.col("price") * F.lit(0.5)).alias("bid"), F.col("size").alias("bid_size"), (F.col("price") * F.lit(2.0)).alias("ask"), F.col("size").alias("ask_size"))
+    return book.from_quotes(q)
+
+
+# Transactions.
+
+
+@query(f"""with {RELEASED}, n as (select *, row_number() over (partition by symbol, segment, tx, "index" order by arrival desc) n from released)
+select symbol, arrival, "index", "value", flags, segment, tx, snapshot from n where not snapshot or (n = 1 and flags & 2 = 0)""")
+def tx_delivered(spark, d):
+    return transactions.delivered(flagged(spark, d), ["symbol"])
+
+
+@query(f"""with {RELEASED}, l as (select * from released qualify segment = max(segment) over (partition by symbol)), n as (select *, row_number() over (partition by symbol, "index" order by arrival desc) n from l)
+select symbol, arrival, "index", "value", flags from n where n = 1 and flags & 2 = 0""")
+def tx_final(spark, d):
+    return transactions.final(flagged(spark, d), ["symbol"])
+
+
+# Chains and profiles.
+
+
+@query(f"""with {INSTRUMENTS}, o as (select *, unnest(case when product = '' then [underlying] when underlying = product then [product] else [product, underlying] end) chain from inst where "type" = 'OPTION' and cfi[1:2] in ('OC', 'OP') and expiration <> 0)
+select chain, expiration, multiplier, 'OX' || substr(cfi, 3) cfi, array_to_string(list_transform(list_sort(list(distinct strike)), lambda x: x::bigint), ',') strikes,
+ coalesce(string_agg(symbol, ',' order by strike, symbol) filter (where cfi[1:2] = 'OC'), '') calls, coalesce(string_agg(symbol, ',' order by strike, symbol) filter (where cfi[1:2] = 'OP'), '') puts from o group by all""")
+def option_chains(spark, d):
+    return chains.chains(instruments(spark, d)).withColumn("strikes", F.array_join(F.transform("strikes", lambda x: x.cast("long").cast("string")), ","))
+
+
+@query(f"""with {INSTRUMENTS}, s as (select distinct underlying, strike from inst), r as (select *, row_number() over (partition by underlying order by strike) - 1 i, count(*) filter (where strike < 1200) over (partition by underlying) a from s)
+select underlying, strike from r where i >= greatest(a - 3, 0) and i < greatest(a - 3, 0) + 6""")
+def strikes_around(spark, d):
+    return chains.strikes_around(instruments(spark, d), ["underlying"], 1200.0, 6)
+
+
+@query("""with u as (select p_brand symbol, p_partkey arrival, case when p_partkey % 4 = 0 then '' else p_type end a, case when p_partkey % 3 = 0 then '' else p_name end b from part)
+select symbol, min(arrival) as "first", coalesce(max_by(a, arrival) filter (where a <> ''), '') a, coalesce(max_by(b, arrival) filter (where b <> ''), '') b from u group by symbol""")
+def profiles_merged(spark, d):
+    k = F.col("p_partkey")
+    u = table(spark, d, "part").select(F.col("p_brand").alias("symbol"), k.alias("arrival"), F.when(k % 4 == 0, "").otherwise(F.col("p_type")).alias("a"), F.when(k % 3 == 0, "").otherwise(F.col("p_name")).alias("b"))
+    return profiles.merged(u, "arrival", ["a", "b"])
+
+
+@query("""select symbol, field, n from (select p_brand symbol, count(distinct nullif(p_type, '')) a, count(distinct nullif(p_size::varchar, '')) b from part group by 1) unpivot (n for field in (a, b)) where n > 1""")
+def profiles_conflicts(spark, d):
+    u = table(spark, d, "part").select(F.col("p_brand").alias("symbol"), F.col("p_type").alias("a"), F.col("p_size").cast("string").alias("b"))
+    return profiles.conflicts(u, ["a", "b"])
+
+
+@query(f"with {INSTRUMENTS} select symbol, \"type\" from inst where symbol not in (select symbol from inst where \"type\" = 'FUTURE')")
+def profiles_excluded(spark, d):
+    p = instruments(spark, d)
+    return profiles.excluded(p, p.where("type = 'FUTURE'")).select("symbol", "type")
+
+
+@query(f"with {INSTRUMENTS} select underlying, expiration, cfi, strike, count(*) n, min(symbol) symbol from inst where \"type\" = 'OPTION' group by underlying, expiration, cfi, strike having count(*) > 1")
+def profiles_repeated(spark, d):
+    return profiles.repeated(instruments(spark, d).where("type = 'OPTION'"), ["underlying", "expiration", "cfi", "strike"])
+
+
+@query("""with u as (select user_id::varchar symbol, case when event_type = 'error' then 'REMOVED' else event_type end "type", event_id from events)
+select symbol, "type", event_id from u qualify row_number() over (partition by symbol order by event_id desc) = 1 and "type" <> 'REMOVED'""")
+def profiles_collected(spark, d):
+    u = events(spark, d).select(F.col("user_id").cast("string").alias("symbol"), F.when(F.col("event_type") == "error", "REMOVED").otherwise(F.col("event_type")).alias("type"), "event_id")
+    return profiles.collected(u, "event_id")
+
+
+@query(f"""with {INSTRUMENTS}, f as (select * from inst where product <> ''), g as (select product, min_by(underlying, arrival) filter (where underlying <> '') underlying, min(description) a, max(description) b from f group by product)
+select product, underlying, regexp_replace(substr(a, 1, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda k: substr(a, 1, k) = substr(b, 1, k)))::bigint), '[ \\t\\n,;:/-]+$', '') description from g""")
+def profiles_products(spark, d):
+    return profiles.products(instruments(spark, d), "arrival", ["underlying"])
+
+
+@query(f"""with {INSTRUMENTS} select symbol, case when "type" = 'FUTURE' then 1 when "type" = 'OPTION' then 2 else 3 end::bigint type_rank, row_number() over (partition by "type" order by product, underlying, expiration, strike, symbol)::bigint place from inst""")
+def profiles_sorted(spark, d):
+    return profiles.sorted_profiles(instruments(spark, d).withColumn("last_trade", F.col("expiration")), ["FUTURE", "OPTION"]).select("symbol", "type_rank", "place")
+
+
+# Analysis.
+
+
+@query("select user_id, count(*) n from events group by user_id order by n desc, user_id limit 10")
+def top_symbols(spark, d):
+    return analysis.top(events(spark, d), "user_id", 10)
+
+
+@query("select event_type, coalesce(user_id, -1) user_id, count(*) n, floor(sum(value) * 10000.0::double + 0.5::double) / 10000.0::double total from (select event_type, user_id, floor(value) as \"value\" from events) group by grouping sets ((event_type, user_id), (event_type), ())")
+def totals_by_level(spark, d):
+    return analysis.totals(events(spark, d).withColumn("value", F.floor("value").cast("double")), "event_type", "user_id", "value").withColumn("user_id", F.coalesce("user_id", F.lit(-1)))
+
+
+@query("""with a as (select event_type, user_id, ts, row_number() over (partition by event_type, user_id order by ts) k from events where event_id % 5 <> 0),
+b as (select event_type, user_id, ts, row_number() over (partition by event_type, user_id order by ts) k from events where event_id % 7 <> 0)
+select event_type, count(a.ts) received1, count(b.ts) received2, count(b.ts - a.ts) matched, sum(epoch_us(b.ts) - epoch_us(a.ts))::bigint delay_us from a full join b using (event_type, user_id, k) group by event_type""")
+def streams_compared(spark, d):
+    e = events(spark, d).select("event_type", "user_id", "ts", "event_id")
+    return analysis.compared(e.where("event_id % 5 <> 0"), e.where("event_id % 7 <> 0"), ["event_type"], ["user_id"], "ts")
+
+
+@query()
+def streams_aligned(spark, d):
+    e = events(spark, d).select("user_id", "event_type", "event_id")
+    return analysis.aligned(e.where("event_id % 5 <> 0"), e.where("event_id % 7 <> 0"), "user_id", "event_type", "event_id")
+
+
+@query()
+def dropped_rows(spark, d):
+    return analysis.dropped(events(spark, d), "event_id", 100_000)
+
+
+# Filters.
+
+NAMES = "names as (select p_partkey k, case p_partkey % 9 when 0 then '/ES' || p_size when 1 then '$IDX' || p_size when 2 then '.' || upper(p_brand) when 3 then './ES' || p_size when 4 then '=A-B' || p_size when 5 then 'EUR/USD' when 6 then 'IBM' || p_size || '&Q' when 7 then 'SPY{=5m,price=bid}' else upper(replace(p_brand, '#', '')) end s from part)"
+
+
+def names(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    s = (
+        F.when(k % 9 == 0, F.concat(F.lit("/ES"), size)).when(k % 9 == 1, F.concat(F.lit("$IDX"), size)).when(k % 9 == 2, F.concat(F.lit("."), F.upper("p_brand"))).when(k % 9 == 3, F.concat(F.lit("./ES"), size)).when(k % 9 == 4, F.concat(F.lit("=A-B"), size))
+        .when(k % 9 == 5, "EUR/USD").when(k % 9 == 6, F.concat(F.lit("IBM"), size, F.lit("&Q"))).when(k % 9 == 7, "SPY{=5m,price=bid}").otherwise(F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))))
+    )
+    return table(spark, d, "part").select(k.alias("k"), s.alias("s"))
+
+
+@query(f"with {NAMES} select k, s from names where (regexp_full_match(s, 'IBM.*') or regexp_full_match(s, '\\.[A-K].*') or regexp_full_match(s, '.*S.*')) and not regexp_full_match(s, '/.*')")
+def filter_glob(spark, d):
+    s = F.col("s")
+    return names(spark, d).where((filters.glob(s, "IBM*") | filters.glob(s, ".[A-K]*") | filters.glob(s, "*S*")) & filters.glob(s, "!/*"))
+
+
+@query(f"with {NAMES}, c as (select *, regexp_replace(s, '^(=[+-]?([0-9.]+[*])?)?[^A-Za-z0-9]*', '') c from names) select k, s from c where c >= 'B' and c < 'IBM3'")
+def filter_range(spark, d):
+    return names(spark, d).where(filters.ranged(F.col("s"), "B", "IBM3"))
+
+
+@query(f"""with {NAMES}, h as (select *, list_reduce(list_prepend(0::bigint, list_transform(string_split(s, ''), lambda c: unicode(c)::bigint)), lambda a, x: (a * 31 + x) % 4294967296) h from names)
+select k, s, (((h::hugeint * 3026425037) % 4294967296) // 268435456)::bigint g from h""")
+def filter_hash(spark, d):
+    return names(spark, d).withColumn("g", filters.hash_group(F.col("s"), 16).cast("long"))
+
+
+@query(f"""with {NAMES} select k, s, case when regexp_full_match(s, '[A-Z]{{3,4}}/[A-Z]{{3}}([#{{:].*)?') then 'fx' when s[1] = '/' then 'fut' when s[1] = '$' then 'ind' when s[1] = '=' then 'spread' when s[1:2] = './' then 'futopt' when s[1] = '.' then 'bsopt' else 'OTHER' end category from names""")
+def filter_category(spark, d):
+    return names(spark, d).withColumn("category", filters.category(F.col("s")))
+
+
+@query(f"with {NAMES} select k, s from names where regexp_full_match(s, '/[A-Z0-9]{{1,3}}([{{:].*)?') or regexp_full_match(s, '[^./=$~#].*')")
+def filter_named(spark, d):
+    return names(spark, d).where(filters.of_class(F.col("s"), "prod") | filters.of_class(F.col("s"), "bs"))
+
+
+@query(f"with {NAMES} select k, s from names where regexp_replace(regexp_replace(s, '\\{{[^}}]*\\}}$', ''), '&[A-Z]$', '') in ('SPY', 'IBM1', 'IBM5', 'EUR/USD')")
+def filter_listed(spark, d):
+    ref = spark.createDataFrame([("SPY",), ("IBM1&N",), ("IBM5",), ("EUR/USD",)], "symbol string")
+    return filters.listed(names(spark, d), ref, "s")
+
+
+# Scalars.
+
+
+@query(f"""with {NAMES} select k, regexp_replace(regexp_replace(s, '\\{{[^}}]*\\}}$', ''), '&[A-Z]$', '') base, regexp_extract(s, '&([A-Z])$', 1) exchange, case when s like '%price=bid%' then 'bid' end price,
+ case when s like '%{{%' then 'SPY{{=5m,price=ask}}' else s || '{{price=ask}}' end changed, case when s like '%{{%' then 'SPY{{=5m}}' else s end removed from names""")
+def symbol_parts(spark, d):
+    s = F.col("s")
+    return names(spark, d).select("k", symbols.base_symbol(s).alias("base"), symbols.exchange_code(s).alias("exchange"), symbols.attribute(s, "price").alias("price"), symbols.with_attribute(s, "price", "ask").alias("changed"), symbols.with_attribute(s, "price", None).alias("removed"))
+
+
+@query("select event_id, (ts::date - date '1970-01-01')::bigint day_id, strftime(ts, '%Y%m%d')::bigint ymd, isodow(ts)::bigint dow, (date_trunc('month', ts)::date + 14)::date::varchar mid, last_day(ts::date)::varchar as \"last\", (ts::date + (3 - isodow(ts))::int)::date::varchar wednesday from events")
+def day_functions(spark, d):
+    ts = F.col("ts")
+    return events(spark, d).select("event_id", times.day_id(ts).alias("day_id"), times.yyyymmdd(times.day_id(ts)).alias("ymd"), times.day_of_week(ts).alias("dow"), times.with_day_of_month(ts, 15).cast("string").alias("mid"), times.with_day_of_month(ts, -1).cast("string").alias("last"), times.with_day_of_week(ts, 3).cast("string").alias("wednesday"))
+
+
+@query("select event_id, floor((event_id - 500) / 7.0::double)::bigint q, (((event_id - 500) % 7 + 7) % 7)::bigint r from events")
+def floor_division(spark, d):
+    x = F.col("event_id") - 500
+    return events(spark, d).select("event_id", times.floor_div(x, 7).alias("q"), times.floor_mod(x, 7).alias("r"))
+
+
+@query("""with p as (select p_partkey, p_partkey / 8.0::double price from part), i as (select *, case when price < 50 then 0.25::double else 0.5::double end inc from p where abs(price - 50) > 0.001)
+select p_partkey, price, inc, floor(price / inc) * inc down, ceil(price / inc) * inc up from i""")
+def price_increments(spark, d):
+    text = "0.25 50; 0.5"
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") / F.lit(8.0)).alias("price")).where(F.abs(F.col("price") - 50) > 0.001)
+    c = F.col("price")
+    return p.select("p_partkey", "price", prices.increment(c, text).alias("inc"), prices.rounded(c, text, -1).alias("down"), prices.rounded(c, text, 1).alias("up"))
+
+
+@query("""with l as (select p_partkey k, case p_partkey % 4 when 0 then '' when 1 then 'AB;CD;XY' when 2 then 'CD' else 'AA;M;ZZ' end l from part)
+select k, list_contains(string_split(l, ';'), 'CD') has, case l when '' then 'M' when 'AB;CD;XY' then 'AB;CD;M;XY' when 'CD' then 'CD;M' else l end added, case l when 'AB;CD;XY' then 'AB;XY' when 'CD' then '' else l end removed from l""")
+def list_items(spark, d):
+    k = F.col("p_partkey")
+    lst = F.when(k % 4 == 0, "").when(k % 4 == 1, "AB;CD;XY").when(k % 4 == 2, "CD").otherwise("AA;M;ZZ")
+    t = table(spark, d, "part").select(k.alias("k"), lst.alias("l"))
+    c = F.col("l")
+    return t.select("k", lists.has_item(c, "CD").alias("has"), lists.add_item(c, "M").alias("added"), lists.remove_item(c, "CD").alias("removed"))
+
+
+@query("""select p_partkey k, case when p_type in ('a', 'b') then 'first' when p_brand like '%1' then 'brand' else 'rest' end chosen, regexp_full_match(p_brand, 'Brand#[1-3].*') liked, regexp_replace(p_name, '[aeiou]', '_') replaced from part""")
+def profile_expressions(spark, d):
+    t = table(spark, d, "part")
+    chosen = lists.choose(F.col("p_type"), {("a", "b"): F.lit("first")}, F.when(F.col("p_brand").endswith("1"), "brand").otherwise("rest"))
+    return t.select(F.col("p_partkey").alias("k"), chosen.alias("chosen"), lists.like(F.col("p_brand"), "Brand#[1-3].*").alias("liked"), lists.replace_first(F.col("p_name"), "[aeiou]", "_").alias("replaced"))
+
+
+@query("""select c_custkey, case c_custkey % 3 when 0 then 'Equities' when 1 then 'Listed options' else 'Unknown' end category, (65 * 16777216 + 66 * 65536 + 67 * 256 + 68)::bigint source_id, 'ABCD' source_name from customer""")
+def code_functions(spark, d):
+    t = table(spark, d, "customer")
+    cfi = F.when(F.col("c_custkey") % 3 == 0, "ESXXXX").when(F.col("c_custkey") % 3 == 1, "OCASPS").otherwise("?")
+    sid = codes.source_id(F.lit("ABCD"))
+    return t.select("c_custkey", codes.cfi_category(cfi).alias("category"), sid.alias("source_id"), codes.source_name(sid).alias("source_name"))
+
+
+@query("""select event_id, case when event_type = 'view' then 'seen' else event_type end event_type, case when event_type = 'click' then event_id::double else value end as "value", case when event_type = 'error' then ts + interval '90 seconds' else ts end ts from events""")
+def field_replacement(spark, d):
+    e = events(spark, d)
+    e = fields.set_field(e, F.col("event_type") == "click", "value", "event_id")
+    e = fields.shift_time(e, F.col("event_type") == "error", "ts", 90)
+    e = fields.set_value(e, F.col("event_type") == "view", "event_type", "seen")
+    return fields.visible(e, [(False, "user.*")])
+
+
+DEFINITION = "tz=UTC;hd=20240115;sd=20240116;sds=ec0300;td=12345;0=p04000930r09301600a16002000"
+
+
+@query()
+def calendar_sessions(spark, d):
+    e = events(spark, d)
+    span = e.agg(F.min("ts").cast("date"), F.max("ts").cast("date")).first()
+    if span[0] is None:
+        span = (date(2024, 1, 1), date(2024, 1, 2))
+    _, sessions = calendar.calendar(spark, DEFINITION, *span)
+    return calendar.session_of(e.select("event_id", "ts"), sessions).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def calendar_days(spark, d):
+    days, _ = calendar.calendar(spark, DEFINITION, date(2024, 1, 1), date(2024, 3, 31))
+    return calendar.trading_day(days, days, "day", 2, "next2").join(calendar.neighbours(days, F.col("trading")), "day")
 
 
 def queries() -> dict[str, Query]:
-    return {"ticker_last": ticker_last}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"ticker_last": TICKER_LAST}
+    return dict(_oracles)
