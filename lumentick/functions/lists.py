@@ -45,8 +45,10 @@ def replace_first(c: Column, pattern: str, by: str) -> Column:
 
 def canonical(c: Column, digits: int = 14) -> Column:
     """A number rounded to 14 significant digits."""
-    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(c))))
-    return F.when((c == 0) | F.isnan(c), c).otherwise(F.rint(c * scale) / scale)
+    places = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
+    unit = F.pow(F.lit(10.0), F.abs(places))
+    near = F.when(places >= 0, F.rint(c * unit) / unit).otherwise(F.rint(c / unit) * unit)
+    return F.when((c == 0) | F.isnan(c), c).otherwise(near)
 
 
 def choose(selector: Column, cases: dict[tuple[str, ...], Column], default: Column) -> Column:
