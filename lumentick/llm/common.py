@@ -42,7 +42,8 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
 
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; null ids count as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % n
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % n
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
