@@ -55,3 +55,19 @@ def aligned(first: DataFrame, second: DataFrame, key: str, payload: str, order:
 def dropped(rows: DataFrame, key: str, per_million: int) -> DataFrame:
     """Rows without those whose key's hash falls into the given share: the same rows each time."""
     return rows.where(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(1_000_000)) >= per_million)
+
+
+def described(rows: DataFrame, record: str, symbol: str, values: list[str]) -> DataFrame:
+    """Of each record: rows, symbols, and of each value its least, greatest, missing and zero ones."""
+    each = [x for v in values for x in (F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.count_if(F.col(v).isNull()).alias(f"{v}_missing"), F.count_if(F.col(v) == 0).alias(f"{v}_zero"))]
+    return rows.groupBy(record).agg(F.count("*").alias("n"), F.count_distinct(symbol).alias("symbols"), *each)
+
+
+def subscription_totals(subscription: DataFrame, record: str, symbol: str, category) -> DataFrame:
+    """Unique symbols of each record and category."""
+    return subscription.groupBy(F.col(record).alias("record"), category.alias("category")).agg(F.count_distinct(symbol).alias("symbols"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON line."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))

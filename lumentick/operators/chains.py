@@ -28,3 +28,8 @@ def strikes_around(strikes: DataFrame, keys: list[str], strike: float, n: int) -
     t = strikes.select(*keys, "strike").distinct().withColumn("i", F.row_number().over(w.orderBy("strike")) - 1).withColumn("at", F.count_if(F.col("strike") < strike).over(w))
     first = F.greatest(F.col("at") - n // 2, F.lit(0))
     return t.where((F.col("i") >= first) & (F.col("i") < first + n)).select(*keys, "strike")
+
+
+def series_order(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``place``: the series' order within ``keys``, by expiration, multiplier and CFI."""
+    return series.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*SERIES)).cast("long"))

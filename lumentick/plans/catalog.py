@@ -471,6 +471,32 @@ def filter_listed(spark, d):
     return filters.listed(names(spark, d), ref, "s")
 
 
+@query(f"with {INSTRUMENTS} select distinct underlying, expiration, multiplier, cfi, dense_rank() over (partition by underlying order by expiration, multiplier, cfi)::bigint place from inst where \"type\" = 'OPTION'")
+def series_sorted(spark, d):
+    series = instruments(spark, d).where("type = 'OPTION'").select("underlying", *chains.SERIES).distinct()
+    return chains.series_order(series, ["underlying"])
+
+
+@query("""select event_type, count(*) n, count(distinct user_id) symbols, min(value) value_min, max(value) value_max, count(*) filter (where value is null) value_missing, count(*) filter (where value = 0) value_zero from events group by event_type""")
+def tape_described(spark, d):
+    return analysis.described(events(spark, d), "event_type", "user_id", ["value"])
+
+
+@query(f"""with {NAMES} select 'Trade' record, case when regexp_full_match(s, '[A-Z]{{3,4}}/[A-Z]{{3}}([#{{:].*)?') then 'fx' when s[1] = '/' then 'fut' when s[1] = '$' then 'ind' when s[1] = '=' then 'spread' when s[1:2] = './' then 'futopt' when s[1] = '.' then 'bsopt' else 'OTHER' end category, count(distinct s) symbols from names group by all""")
+def subscription_totals(spark, d):
+    return analysis.subscription_totals(names(spark, d).withColumn("r", F.lit("Trade")), "r", "s", filters.category(F.col("s")))
+
+
+@query("select event_id, ts + interval '90 seconds' ts from events")
+def feed_delayed(spark, d):
+    return feed.delayed(events(spark, d).select("event_id", "ts"), "ts", 90)
+
+
+@query("select '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' line from events")
+def events_as_json(spark, d):
+    return analysis.as_json(events(spark, d).select("event_id", "event_type"))
+
+
 # Scalars.
 
 
