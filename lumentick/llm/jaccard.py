@@ -10,10 +10,11 @@ the threshold or more share the required number of elements, so
   which are scanned.
 
 The boundary is the size with the least estimated cost, from the sizes' histogram and the lists' mean
-length. Candidates are not all pairs of a list. First every set is compared with the leader of a list
-that it shares most with, and with other pivots met there; the links found give components. Then only
-sets of different components that meet in a list are paired, filtered by size, position and number of
-shared elements, and compared exactly. Links inside a component change nothing, so no component is lost.
+length. Candidates are never spelt out as pairs of a list. Every set goes to the block of the leader
+that it shares most lists with; a block is bounded (large ones are split, the leader is in each part)
+and is joined exactly in memory. The links found give components. Then a set that shares a list with
+sets of another, larger component in some block travels to that block, and is compared with all of it.
+Links inside a component change nothing, so no component is lost.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ LEAST = 4
 SIZES = 64
 #: Cost of a candidate, in keys.
 CANDIDATE_COST = 8.0
-#: Members of a leader's group that one task compares, and pivots that they are compared with.
-GROUP, PIVOTS = 1000, 24
+#: Sets, and shingles in them, that a block holds (about).
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
 CHUNK = 4 << 20
 
 
@@ -154,7 +155,7 @@ def boundary(sizes: np.ndarray, mean_list: float, percent: int) -> int:
     return 1 + int(np.argmin(cost))
 
 
-ENTRIES = "kind int, key long, light boolean, gid long, idx int, pos int, doc_id long, node binary, n long"
+ENTRIES = "kind int, key long, gid long, idx int, pos int, doc_id long, node binary, n long"
 
 
 def postings(docs: DataFrame, width: int, percent: int, id_bits: int, ids: np.ndarray, level: np.ndarray, small: int, part_bits: int) -> DataFrame:
@@ -187,7 +188,8 @@ def postings(docs: DataFrame, width: int, percent: int, id_bits: int, ids: np.nd
                 keys, idx, pos, kind = [], [], [], []
 
                 def put(k, key, at, what):
-                    keys.append(key)
+                    # The last bit tells subsets from elements.
+                    keys.append(key & ~np.uint64(1) | np.uint64(what & 1))
                     idx.append(np.full(len(key), k, dtype="<u4"))
                     pos.append(np.minimum(at, 65535).astype("<u2"))
                     kind.append(np.full(len(key), what, dtype=np.uint8))
@@ -226,7 +228,7 @@ def postings(docs: DataFrame, width: int, percent: int, id_bits: int, ids: np.nd
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), gid)), blob(key.astype("<u8")), blob(i), blob(at), blob(what), none, pa.nulls(len(own), pa.list_(pa.binary())), none], names=names)
                 gid += 1
 
-    kinds = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("light", pa.bool_()), ("gid", pa.int64()), ("idx", pa.int32()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int64())])
+    kinds = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("gid", pa.int64()), ("idx", pa.int32()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int64())])
 
     def meet(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
@@ -234,7 +236,7 @@ def postings(docs: DataFrame, width: int, percent: int, id_bits: int, ids: np.nd
             out = []
             for r in t.to_pylist():
                 m = len(r["n"])
-                out.append(pa.table([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(np.full(m, r["gid"])), pa.array(np.arange(m, dtype=np.int32)), pa.nulls(m, pa.int32()), pa.array(r["doc_id"], pa.int64()), pa.array(r["node"], pa.binary()), pa.array(r["n"], pa.int64())], schema=kinds))
+                out.append(pa.table([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(np.full(m, r["gid"])), pa.array(np.arange(m, dtype=np.int32)), pa.nulls(m, pa.int32()), pa.array(r["doc_id"], pa.int64()), pa.array(r["node"], pa.binary()), pa.array(r["n"], pa.int64())], schema=kinds))
             return pa.concat_tables(out)
         blobs = {k: t.column(k).to_pylist() for k in ("keys", "idx", "pos", "light")}
         key, i, at, what = (np.frombuffer(b"".join(blobs[k]), d) for k, d in (("keys", "<u8"), ("idx", "<u4"), ("pos", "<u2"), ("light", np.uint8)))
@@ -244,7 +246,7 @@ def postings(docs: DataFrame, width: int, percent: int, id_bits: int, ids: np.nd
             keep = times[back] > 1
             key, i, at, what, gid = key[keep], i[keep], at[keep], what[keep], gid[keep]
         m = len(key)
-        return pa.table([pa.array(np.ones(m, np.int32)), pa.array(key.view(np.int64)), pa.array((what & 1) > 0), pa.array(gid), pa.array(i.astype(np.int32)), pa.array(at.astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], schema=kinds)
+        return pa.table([pa.array(np.ones(m, np.int32)), pa.array(key.view(np.int64)), pa.array(gid), pa.array(i.astype(np.int32)), pa.array(at.astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], schema=kinds)
 
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "part long, gid long, keys binary, idx binary, pos binary, light binary, doc_id array<long>, node array<binary>, n array<long>")
     return stored(sent.groupBy("part").applyInArrow(meet, ENTRIES), "postings")
@@ -252,12 +254,52 @@ def postings(docs: DataFrame, width: int, percent: int, id_bits: int, ids: np.nd
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two ascending sets are as similar as ``percent``."""
-    if len(a) > len(b):
-        a, b = b, a
-    if 100 * len(a) < percent * len(b):
-        return False
-    same = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return 100 * same >= percent * (len(a) + len(b) - same)
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * same >= percent * (len(a) + len(b) - same) and same > 0
+
+
+class Block:
+    """Sets with an inverted index of their shingles: all links of one set at once."""
+
+    def __init__(self, s: np.ndarray, bounds: np.ndarray, percent: int):
+        self.bounds, self.percent, self.size = bounds, percent, np.diff(bounds)
+        of = np.repeat(np.arange(len(self.size)), self.size)
+        _, self.group = np.unique(s, return_inverse=True)
+        self.order = of[np.argsort(self.group, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.group))]).astype(np.int64) if len(s) else np.zeros(1, np.int64)
+
+    def links(self, k: int) -> np.ndarray:
+        """The sets that set ``k`` links to, itself left out."""
+        g = self.group[self.bounds[k] : self.bounds[k + 1]]
+        n = self.first[g + 1] - self.first[g]
+        run = np.cumsum(n)
+        if not len(n):
+            return np.zeros(0, np.int64)
+        at = np.arange(run[-1]) + np.repeat(self.first[g] - (run - n), n)
+        same = np.bincount(self.order[at], minlength=len(self.size))
+        found = (same > 0) & (100 * same >= self.percent * (self.size + self.size[k] - same))
+        found[k] = False
+        return np.flatnonzero(found)
+
+    def spanning(self) -> list[tuple[int, int]]:
+        """Links that connect all that are connected.
+
+        Sets outside the largest component are looked up one after the other; a link between two
+        components has one end outside the largest, so none is missed.
+        """
+        label, out = np.arange(len(self.size)), []
+        todo = np.ones(len(self.size), dtype=bool)
+        while True:
+            largest = np.bincount(label).argmax() if len(label) else -1
+            open_ = np.flatnonzero(todo & (label != largest))
+            if not len(open_):
+                return out
+            k = open_[0]
+            todo[k] = False
+            for j in self.links(k):
+                if label[j] != label[k]:
+                    out.append((int(k), int(j)))
+                    label[label == label[j]] = label[k]
 
 
 def labels(edges: DataFrame) -> DataFrame:
@@ -279,10 +321,6 @@ def labels(edges: DataFrame) -> DataFrame:
         now = step.select("node", "label")
 
 
-def _needed(na: Column, nb: Column, percent: int) -> Column:
-    return F.ceil(F.lit(percent) * (na + nb) / F.lit(float(100 + percent)) - F.lit(1e-9))
-
-
 def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row of ``docs``.
 
@@ -309,87 +347,99 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
 
     entries = postings(docs, width, percent, id_bits, listed["id"].to_numpy().astype(np.uint64), listed["k"].to_numpy().astype(np.int8), small, part_bits)
     rows = entries.where("kind = 0").select("gid", "idx", "doc_id", "node", "n")
-    classes = stored(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
-    met = entries.where("kind = 1").select("key", "light", "gid", "idx", "pos").join(rows.select("gid", "idx", "node", "n"), ["gid", "idx"])
-    met = met.groupBy("key", "light", "node").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
-    met = stored(met, "met")
-
-    # The leader of a list is the same set in every list that it is in.
-    leader = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("l")
-    lists = met.groupBy("key", "light").agg(leader, F.count("*").alias("c")).where("c > 1").select("key", "light", "l.leader", "l.leader_n")
-    pairs = met.join(lists, ["key", "light"]).where((F.col("node") != F.col("leader")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")))
-    best = pairs.groupBy("node", "leader").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "leader")).alias("m")).select("node", F.col("m.leader").alias("leader"))
-    best = stored(best, "best")
-    width_of = best.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-
-    # Texts of all sets that share a key with another, once; the set's hash tells the right row of a repeated id.
-    shared = met.join(lists.select("key", "light"), ["key", "light"], "left_semi").select("node").distinct()
-    wanted = shared.join(classes.select("node", "doc_id"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
+    # Equal sets are one node, named by its least id; rows that repeat an id with other texts are the same node.
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
+    rows = stored(rows.join(classes, "node", "left").select("gid", "idx", "doc_id", "id", "n"), "rows")
+    met = entries.where("kind = 1").select("key", "gid", "idx", "pos").join(rows.select("gid", "idx", F.col("id").alias("node"), "n"), ["gid", "idx"])
+    met = stored(met.groupBy("key", "node", "n").agg(F.min("pos").alias("pos")), "met")
+    part = stored(_blocks(met, percent), "blocks")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(part.select("node"), "node")
     texts = stored(texts, "texts")
+    edges = stored(_joined(texts, part, percent, width), "links")
+    known = part.join(labels(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = stored(known, "known")
+    more = stored(_travelled(met, texts, known, percent, width), "more_links")
+    whole = labels(more).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    named = known.join(whole, "label", "left").select(F.col("node").alias("id"), F.coalesce("root", "label").alias("component_id"))
+    out = rows.join(named, "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
-    member = texts.join(best, "node").join(width_of, "leader").select("leader", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "node", "text")
-    head = texts.join(width_of, texts["node"] == width_of["leader"]).select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "text")
 
-    def compare(t: pa.Table) -> pa.Table:
-        s, bounds = shingles(t.column("text").combine_chunks(), width)
-        node, lead = t.column("node").to_pylist(), t.column("leader")[0].as_py()
-        own = [s[bounds[k] : bounds[k + 1]] for k in range(len(node))]
-        turn = sorted(range(len(node)), key=lambda k: (node[k] != lead, len(own[k]), node[k]))
-        pivots, of, a, b = [], [], [], []
-        for k in turn:
-            mine = None
-            for i, p in enumerate(pivots):
-                if mine is not None and of[i] == mine:
-                    continue
-                if _linked(own[k], own[p], percent):
-                    if node[k] != node[p]:
-                        a.append(node[k])
-                        b.append(node[p])
-                    if mine is None:
-                        mine = of[i]
-                    else:
-                        gone = of[i]
-                        of = [mine if x == gone else x for x in of]
-            if len(pivots) < PIVOTS and (mine is None or len(pivots) < PIVOTS // 2):
-                pivots.append(k)
-                of.append(mine if mine is not None else k)
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    edges = stored(member.unionByName(head).groupBy("leader", "salt").applyInArrow(compare, "a binary, b binary"), "links")
-    part = labels(edges)
-
-    # What is left: sets of different components in one list.
-    tagged = stored(met.join(part, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
-    open_lists = tagged.groupBy("key", "light").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "light")
-    left = tagged.join(open_lists, ["key", "light"], "left_semi")
-    right = left.select("key", "light", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-    cross = left.join(right, ["key", "light"]).where((F.col("label") != F.col("label2")) & (F.col("node") < F.col("node2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    cross = cross.groupBy("node", "node2", "n", "n2", "label", "label2").agg(F.min("pos").alias("pos"), F.min("pos2").alias("pos2"), F.count_if(~F.col("light")).alias("shared"), F.max("light").alias("any_light"))
-    need = _needed(F.col("n"), F.col("n2"), percent)
-    # Elements beyond both prefixes: a set's own prefix is n - required + 1 long.
-    beyond = F.ceil(F.lit(percent) * F.greatest("n", "n2") / F.lit(100.0) - F.lit(1e-9)) - 1
-    cross = cross.where((F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need) & (F.col("any_light") | (F.col("shared") + beyond >= need)))
-    cross = stored(cross.select("node", "node2", "label", "label2"), "cross")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text", CHUNK):
-                s, x = shingles(piece.column("text"), width)
-                r, y = shingles(piece.column("text2"), width)
-                keep = [k for k in range(piece.num_rows) if _linked(s[x[k] : x[k + 1]], r[y[k] : y[k + 1]], percent)]
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in (piece.column("label"), piece.column("label2"))], names=["a", "b"])
+def _salts(n: Column) -> Column:
+    """Parts of a group so that each is about as large as a block."""
+    return F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_SETS), F.sum(n) / F.lit(BLOCK_SHINGLES))).cast("int")
 
-    with_text = cross.join(texts, "node").join(texts.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
-    more = stored(with_text.select("label", "label2", "text", "text2").mapInArrow(exact, "a binary, b binary"), "more_links")
-    whole = labels(more).select(F.col("node").alias("label"), F.col("label").alias("root"))
 
-    known = classes.join(part, "node", "left").withColumn("label", F.coalesce("label", "node")).join(whole, "label", "left").withColumn("root", F.coalesce("root", "label"))
-    known = stored(known.select("node", "doc_id", "root"), "known")
-    named = known.join(known.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
-    out = rows.join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+def _blocks(met: DataFrame, percent: int) -> DataFrame:
+    """(node, n, leader, salt, salts) of every node: the leader is the node itself where it shares no list with a fitting one.
+
+    The leader of a list is the same set in every list that it is in.
+    """
+    leader = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("l")
+    lists = met.groupBy("key").agg(leader, F.count("*").alias("c")).where("c > 1").select("key", "l.leader", "l.leader_n")
+    pairs = met.join(lists, "key").where((F.col("node") != F.col("leader")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")))
+    best = pairs.groupBy("node", "leader").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader"))
+    nodes = met.groupBy("node").agg(F.max("n").alias("n"))
+    chosen = stored(nodes.join(best, "node", "left").withColumn("leader", F.coalesce("leader", "node")), "leaders")
+    salts = chosen.groupBy("leader").agg(_salts(F.col("n")).alias("salts"))
+    return chosen.join(salts, "leader").select("node", "n", "leader", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "salts")
+
+
+def _joined(texts: DataFrame, part: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) that connect what is connected inside each block; the leader is in every part of its own."""
+    several = part.groupBy("leader").agg(F.first("salts").alias("salts"), F.count("*").alias("c"), F.max(F.col("leader") == F.col("node")).alias("own")).where("c > 1 or not own")
+    member = texts.join(part.select("node", "leader", "salt"), "node").join(several.select("leader"), "leader", "left_semi").select("leader", "salt", "node", "text")
+    head = texts.join(several.select(F.col("leader").alias("node"), "salts"), "node").select(F.col("node").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        s, bounds = shingles(t.column("text").combine_chunks(), width)
+        node = np.asarray(t.column("node"))
+        pairs = Block(s, bounds, percent).spanning()
+        # The leader's own row may be here twice: equal nodes are no link.
+        pairs = [(node[a], node[b]) for a, b in pairs if node[a] != node[b]]
+        return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+    return member.unionByName(head).groupBy("leader", "salt").applyInArrow(run, "a long, b long")
+
+
+def _travelled(met: DataFrame, texts: DataFrame, known: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between components: sets that share a list with a larger component's sets in a block are compared with that block."""
+    sizes = known.groupBy("label").agg(F.count("*").alias("of"))
+    known = stored(known.join(sizes, "label"), "sized")
+    tagged = met.join(known.select("node", "label", "leader", "salt", "of"), "node")
+    held = tagged.groupBy("key", "leader", "salt", "label", "of").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    held = stored(held, "held")
+    open_keys = held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    target = held.join(open_keys, "key").select("key", F.col("leader").alias("to"), F.col("salt").alias("to_salt"), F.col("label").alias("to_label"), F.col("of").alias("to_of"), "low", "high")
+    smaller = F.struct("of", "label") < F.struct(F.col("to_of").alias("of"), F.col("to_label").alias("label"))
+    fits = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
+    travel = tagged.select("key", "node", "n", "pos", "label", "of").join(target, "key").where(smaller & fits)
+    travel = travel.groupBy("node", "to", "to_salt").agg(F.max("n").alias("n"), F.min("n").alias("least_n"), F.min("pos").alias("pos"), F.min("low").alias("low"), F.max("high").alias("high"), F.count_if(F.col("key").bitwiseAND(1) == 0).alias("shared"), F.max(F.col("key").bitwiseAND(1)).alias("subset"))
+    # The overlap that is needed, and what both sets can share beyond their prefixes, are extreme at the ends of the sizes met.
+    ends = [F.greatest(F.col("low"), F.ceil(F.col("n") * F.lit(percent / 100.0) - F.lit(1e-9))), F.least(F.col("high"), F.floor(F.col("n") * F.lit(100.0 / percent) + F.lit(1e-9)))]
+    need = lambda m: F.ceil(F.lit(percent) * (F.col("n") + m) / F.lit(100.0 + percent) - F.lit(1e-9))
+    beyond = lambda m: F.ceil(F.lit(percent / 100.0) * F.greatest("n", m) - F.lit(1e-9)) - 1
+    possible = (F.col("least_n") != F.col("n")) | (F.col("subset") == 1) | (F.col("shared") + beyond(ends[0]) >= need(ends[0])) | (F.col("shared") + beyond(ends[1]) >= need(ends[1]))
+    travel = stored(travel.where(possible & ((F.col("least_n") != F.col("n")) | (F.col("n") - F.col("pos") >= need(ends[0])))).select("node", "n", "to", "to_salt"), "travel")
+
+    parts = travel.groupBy("to", "to_salt").agg(_salts(F.col("n")).alias("turns"))
+    block = ["to", "to_salt", "turn"]
+    guest = travel.join(parts, ["to", "to_salt"]).select("to", "to_salt", F.pmod(F.xxhash64("node"), "turns").cast("int").alias("turn"), "node")
+    host = known.select("node", F.col("leader").alias("to"), F.col("salt").alias("to_salt")).join(parts, ["to", "to_salt"]).select("to", "to_salt", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "node")
+    both = guest.withColumn("guest", F.lit(True)).unionByName(host.withColumn("guest", F.lit(False))).join(known.select("node", "label"), "node").join(texts, "node").select(*block, "guest", "label", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        s, bounds = shingles(t.column("text").combine_chunks(), width)
+        label, guest = np.asarray(t.column("label")), t.column("guest").to_numpy(zero_copy_only=False).astype(bool)
+        near, found = Block(s, bounds, percent), set()
+        for k in np.flatnonzero(guest):
+            j = near.links(k)
+            found |= {(int(label[k]), int(x)) for x in np.unique(label[j[~guest[j]]]) if x != label[k]}
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return both.groupBy(*block).applyInArrow(run, "a long, b long")
 
 
 def representatives(docs: DataFrame, percent: int = 75, width: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
@@ -400,3 +450,14 @@ def representatives(docs: DataFrame, percent: int = 75, width: int = 5, broadcas
     """
     gone = stored(components(docs, percent, width).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti")
+
+
+ORACLE_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, case when len(w) >= 5 then array_to_string(w[i:i + 4], ' ') else array_to_string(w, ' ') end g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+o as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+e as (select x, y from o join n p on x = p.doc_id join n q on y = q.doc_id where 100 * c >= 75 * (p.n + q.n - c)),
+r as (select doc_id, doc_id m from documents union select r.doc_id, e.y from r join e on r.m = e.x)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id from (select doc_id, min(m) component_id from r group by doc_id) left join n using (doc_id)
+"""

@@ -80,6 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, mixing, warc
+    from . import decontam, jaccard, mixing, warc
 
-    return {"op5_source_mixing": mixing.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op3_jaccard_join": jaccard.ORACLE_SQL, "op5_source_mixing": mixing.ORACLE_SQL, "op8_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
