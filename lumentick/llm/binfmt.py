@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import shared_dir, slices, stored
 from .tokens import load
 
-#: Distinct words whose ids a worker keeps.
-CACHE = 400_000
-_ids: dict[str, dict[str, np.ndarray]] = {}
+#: Distinct word forms whose ids a worker keeps (about 200 bytes each).
+CACHE = 1_000_000
+_ids: dict[str, dict[str, bytes]] = {}
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 RECORDS = "shard int, start long, doc_id long, n_tokens long, ids_crc32 long"
@@ -59,30 +59,47 @@ def unframed(read, at: int = 0) -> bytes | None:
     return body[:n]
 
 
-def encode_batch(texts: pa.Array, tokenizer, cache: dict[str, np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
+def _forms(word: str) -> tuple[str, str]:
+    """A word as the form that is encoded and a tail of full stops and commas.
+
+    Between a letter and such a tail the pre-tokenizer always cuts, and it lowers ASCII letters; so
+    a form stands for many words. Words with "<" may hold special strings and are left as they are,
+    as are letters whose lower case ends in a mark.
+    """
+    if "<" in word:
+        return word, ""
+    if word.isascii():
+        word = word.lower()
+    form = word.rstrip(".,")
+    if form and len(form) < len(word) and form[-1].lower().isalpha():
+        return form, word[len(form) :]
+    return word, ""
+
+
+def encode_batch(texts: pa.Array, tokenizer, cache: dict[str, bytes], dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a string column and each row's range in them, for a tokenizer that drops white space.
 
     Its pre-tokens never hold white space and its normaliser works on either side of it alone, so a
-    text's ids are those of its words in turn; each distinct word is encoded by the library once.
+    text's ids are those of its words in turn; each distinct form is encoded by the library once.
     """
     words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     bounds = np.asarray(words.offsets).astype(np.int64)
     flat = words.flatten()
     bounds = bounds - bounds[0]
     coded = pc.dictionary_encode(flat)
-    names = coded.dictionary.to_pylist()
+    forms = [_forms(x) for x in coded.dictionary.to_pylist()]
     index = np.asarray(coded.indices)
-    missing = [x for x in names if x not in cache]
+    missing = list({x for pair in forms for x in pair if x not in cache})
     for a in range(0, len(missing), 4096):
         part = missing[a : a + 4096]
         for x, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[x] = np.array(e.ids, dtype=dtype)
-    own = [cache[x] for x in names]
+            cache[x] = np.array(e.ids, dtype=dtype).tobytes()
+    own = [cache[x] + cache[y] if y else cache[x] for x, y in forms]
     if len(cache) > CACHE:
         cache.clear()
-    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // dtype.itemsize
     begin = np.concatenate([[0], np.cumsum(size)])
-    table = np.concatenate([*own, np.zeros(0, dtype)]).astype(dtype, copy=False)
+    table = np.frombuffer(b"".join(own), dtype=dtype)
     n = size[index] if len(index) else np.zeros(0, np.int64)
     run = np.concatenate([[0], np.cumsum(n)])
     ids = table[np.arange(run[-1]) - np.repeat(run[:-1] - begin[index], n)] if len(index) else table[:0]
@@ -164,7 +181,7 @@ def read(manifest: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    shards = shards.repartition(F.col("shard"))
+    shards = shards.repartition(max(manifest.count(), 1), F.col("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
