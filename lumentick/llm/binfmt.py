@@ -35,6 +35,11 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 RECORDS = "shard int, start long, doc_id long, n_tokens long, ids_crc32 long"
 
 
+def _known(tokenizer_path: str) -> dict[str, bytes]:
+    """The worker's forms; asked for by a function, as tasks get copies of the globals they name themselves."""
+    return _ids.setdefault(tokenizer_path, {})
+
+
 def masked(data: bytes) -> int:
     c = zlib.crc32(data)
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
@@ -125,7 +130,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
         narrow = max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
         dtype = np.dtype("<u2" if narrow else "<u4")
         end = np.array([end_id], dtype=dtype).tobytes()
-        cache = _ids.setdefault(tokenizer_path, {})
+        cache = _known(tokenizer_path)
         where, base = _target(folder)
         where.create_dir(base, recursive=True)
         at = TaskContext.get()
