@@ -36,6 +36,8 @@ LEAST = 4
 SIZES = 64
 #: Cost of a candidate, in keys.
 CANDIDATE_COST = 8.0
+#: Rows of travelling sets that are broadcast to pick texts; beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
 #: Sets, and shingles in them, that a block holds (about).
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
 CHUNK = 4 << 20
@@ -354,9 +356,9 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     met = stored(met.groupBy("key", "node", "n").agg(F.min("pos").alias("pos")), "met")
     part = stored(_blocks(met, percent), "blocks")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(part.select("node"), "node")
-    texts = stored(texts, "texts")
-    edges = stored(_joined(texts, part, percent, width), "links")
+    # A text is fetched once, and already knows its block.
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(part.hint("merge"), "node"), "texts")
+    edges = stored(_joined(texts, percent, width), "links")
     known = part.join(labels(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = stored(known, "known")
     more = stored(_travelled(met, texts, known, percent, width), "more_links")
@@ -372,10 +374,16 @@ def _salts(n: Column) -> Column:
     return F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_SETS), F.sum(n) / F.lit(BLOCK_SHINGLES))).cast("int")
 
 
+def _bounded(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def _blocks(met: DataFrame, percent: int) -> DataFrame:
-    """(node, n, leader, salt, salts) of every node: the leader is the node itself where it shares no list with a fitting one.
+    """(node, leader, salt, alone, heads) of every node.
 
-    The leader of a list is the same set in every list that it is in.
+    The leader of a list is the same set in every list that it is in; a node that shares no list with a
+    fitting leader is its own. ``alone``: nobody else is in the block. ``heads``: the parts of the block
+    that the node itself leads, if others are in it.
     """
     leader = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("l")
     lists = met.groupBy("key").agg(leader, F.count("*").alias("c")).where("c > 1").select("key", "l.leader", "l.leader_n")
@@ -383,21 +391,21 @@ def _blocks(met: DataFrame, percent: int) -> DataFrame:
     best = pairs.groupBy("node", "leader").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader"))
     nodes = met.groupBy("node").agg(F.max("n").alias("n"))
     chosen = stored(nodes.join(best, "node", "left").withColumn("leader", F.coalesce("leader", "node")), "leaders")
-    salts = chosen.groupBy("leader").agg(_salts(F.col("n")).alias("salts"))
-    return chosen.join(salts, "leader").select("node", "n", "leader", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "salts")
+    groups = chosen.groupBy("leader").agg(_salts(F.col("n")).alias("salts"), F.max(F.col("leader") != F.col("node")).alias("several"))
+    led = groups.where("several").select(F.col("leader").alias("node"), F.col("salts").alias("heads"))
+    return chosen.join(groups, "leader").join(led, "node", "left").select("node", "leader", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), (~F.col("several")).alias("alone"), "heads")
 
 
-def _joined(texts: DataFrame, part: DataFrame, percent: int, width: int) -> DataFrame:
+def _joined(texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) that connect what is connected inside each block; the leader is in every part of its own."""
-    several = part.groupBy("leader").agg(F.first("salts").alias("salts"), F.count("*").alias("c"), F.max(F.col("leader") == F.col("node")).alias("own")).where("c > 1 or not own")
-    member = texts.join(part.select("node", "leader", "salt"), "node").join(several.select("leader"), "leader", "left_semi").select("leader", "salt", "node", "text")
-    head = texts.join(several.select(F.col("leader").alias("node"), "salts"), "node").select(F.col("node").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "node", "text")
+    member = texts.where(~F.col("alone") & (F.col("leader") != F.col("node"))).select("leader", "salt", "node", "text")
+    head = texts.where("heads is not null").select(F.col("node").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("heads") - 1)).alias("salt"), "node", "text")
 
     def run(t: pa.Table) -> pa.Table:
         s, bounds = shingles(t.column("text").combine_chunks(), width)
         node = np.asarray(t.column("node"))
         pairs = Block(s, bounds, percent).spanning()
-        # The leader's own row may be here twice: equal nodes are no link.
+        # Rows that repeat an id are one node.
         pairs = [(node[a], node[b]) for a, b in pairs if node[a] != node[b]]
         return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
@@ -409,13 +417,13 @@ def _travelled(met: DataFrame, texts: DataFrame, known: DataFrame, percent: int,
     sizes = known.groupBy("label").agg(F.count("*").alias("of"))
     known = stored(known.join(sizes, "label"), "sized")
     tagged = met.join(known.select("node", "label", "leader", "salt", "of"), "node")
-    held = tagged.groupBy("key", "leader", "salt", "label", "of").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # Of each list and block: the sizes met, and the largest component; whoever is of a smaller one travels there.
+    held = tagged.groupBy("key", "leader", "salt").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("of", "label")).alias("top"))
     held = stored(held, "held")
-    open_keys = held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    target = held.join(open_keys, "key").select("key", F.col("leader").alias("to"), F.col("salt").alias("to_salt"), F.col("label").alias("to_label"), F.col("of").alias("to_of"), "low", "high")
-    smaller = F.struct("of", "label") < F.struct(F.col("to_of").alias("of"), F.col("to_label").alias("label"))
+    open_keys = held.groupBy("key").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select("key")
+    target = held.join(open_keys, "key").select("key", F.col("leader").alias("to"), F.col("salt").alias("to_salt"), "top", "low", "high")
     fits = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-    travel = tagged.select("key", "node", "n", "pos", "label", "of").join(target, "key").where(smaller & fits)
+    travel = tagged.select("key", "node", "n", "pos", "label", "of").join(target, "key").where((F.struct("of", "label") < F.col("top")) & fits)
     travel = travel.groupBy("node", "to", "to_salt").agg(F.max("n").alias("n"), F.min("n").alias("least_n"), F.min("pos").alias("pos"), F.min("low").alias("low"), F.max("high").alias("high"), F.count_if(F.col("key").bitwiseAND(1) == 0).alias("shared"), F.max(F.col("key").bitwiseAND(1)).alias("subset"))
     # The overlap that is needed, and what both sets can share beyond their prefixes, are extreme at the ends of the sizes met.
     ends = [F.greatest(F.col("low"), F.ceil(F.col("n") * F.lit(percent / 100.0) - F.lit(1e-9))), F.least(F.col("high"), F.floor(F.col("n") * F.lit(100.0 / percent) + F.lit(1e-9)))]
@@ -428,7 +436,8 @@ def _travelled(met: DataFrame, texts: DataFrame, known: DataFrame, percent: int,
     block = ["to", "to_salt", "turn"]
     guest = travel.join(parts, ["to", "to_salt"]).select("to", "to_salt", F.pmod(F.xxhash64("node"), "turns").cast("int").alias("turn"), "node")
     host = known.select("node", F.col("leader").alias("to"), F.col("salt").alias("to_salt")).join(parts, ["to", "to_salt"]).select("to", "to_salt", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "node")
-    both = guest.withColumn("guest", F.lit(True)).unionByName(host.withColumn("guest", F.lit(False))).join(known.select("node", "label"), "node").join(texts, "node").select(*block, "guest", "label", "text")
+    both = stored(guest.withColumn("guest", F.lit(True)).unionByName(host.withColumn("guest", F.lit(False))).join(known.select("node", "label"), "node"), "guests")
+    both = texts.select("node", "text").join(_bounded(both), "node").select(*block, "guest", "label", "text")
 
     def run(t: pa.Table) -> pa.Table:
         s, bounds = shingles(t.column("text").combine_chunks(), width)
