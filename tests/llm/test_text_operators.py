@@ -100,6 +100,23 @@ def test_perplexity_bands_reject_noise(spark):
     assert sum(not kept[i] for i, *_ in normal) == 0 or all(kept[i] or reference.base_rules(t)[4] * 100 > 20 * 150 for i, t, _ in normal)
 
 
+def test_perplexity_bands_hold_on_both_sides(spark):
+    rng = random.Random(3)
+    syllables = {"en": "the er ing and tion re on st wh ed ly is".split(), "de": "sch ein ung ich keit ge ver und zu heit au en".split()}
+    vocabulary = {k: ["".join(rng.choice(v) for _ in range(rng.randrange(1, 5))) for _ in range(2000)] for k, v in syllables.items()}
+    text = lambda k, n=200: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    soup = lambda x: " ".join("".join(rng.sample(w, len(w))) for w in x.split())
+    plain = [(i, text(k), k) for i, k in enumerate(["en", "de"] * 150)]
+    mixed = [(1000 + i, text("en", 120) + " " + text("de", 80), "en") for i in range(5)]
+    stuffed = [(2000 + i, " ".join(w + rng.choice(["%%%", "&&&", "$$$"]) for w in text("en").split()), "en") for i in range(10)]
+    shuffled = [(3000 + i, soup(text("en")), "en") for i in range(5)]
+    dull = [(4000 + i, " ".join("tion" * rng.randrange(1, 9) for _ in range(200)), "en") for i in range(5)]
+    out = {r["doc_id"]: r for r in rules.rules(spark.createDataFrame(plain + mixed + stuffed + shuffled + dull, "doc_id long, text string, lang string")).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert [i for i, *_ in plain + mixed if not out[i]["kept"]] == []
+    assert [i for i, *_ in stuffed + shuffled + dull if out[i]["kept"]] == []
+
+
 def test_quality_classifier_on_held_out_rows(spark, none):
     rng = random.Random(4)
     words = ["stone", "river", "cloud", "engine", "paper", "window", "garden", "music", "letter", "winter"]
