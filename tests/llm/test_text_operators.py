@@ -157,6 +157,14 @@ def test_class_probabilities_add_up_to_one():
     assert abs(p.sum() - 1) < 1e-9 and p.argmax() == 3
 
 
+def test_training_uses_counts_that_draws_would_miss():
+    counts = np.zeros((lm.CLASSES,) * 3)
+    counts[1, 2, 3], counts[2, 3, 1], counts[5, 6, 1] = 2e12, 1e12, 100
+    near, far, norm = lm.train(counts).tables()
+    p = np.exp(near[6, : lm.BEGIN] + far[5, : lm.BEGIN] - norm[5, 6])
+    assert p.argmax() == 1 and p[1] > 0.5
+
+
 def test_words_of_sliced_columns():
     from lumentick.llm.common import Words
 
