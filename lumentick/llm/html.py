@@ -22,14 +22,18 @@ _TOKEN = re.compile(
     re.S,
 )
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_START = re.compile(r"\bstart\s*=\s*[\"']?\s*(-?\d{1,9})", re.I)
-_INPUT = re.compile(r"\btype\s*=\s*[\"']?\s*hidden\b", re.I)
-_SPAN = re.compile(r"\bcolspan\s*=\s*[\"']?\s*(\d{1,3})", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?")
+_CONCEALED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?=;|$)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_NUMBER = re.compile(r"\s*(-?\d{1,9})")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never shown, with all that they hold.
-UNSEEN = frozenset("head title script style template noscript noframes iframe object audio video canvas svg math datalist select textarea".split())
+UNSEEN = frozenset("head title script style template noscript noframes iframe object audio video canvas datalist".split())
+#: Shown within svg as lines; its other texts (title, desc, metadata, definitions) are not.
+SVG_UNSEEN = frozenset("title desc metadata defs symbol clippath mask marker pattern style script".split())
+#: What a head may hold; any other tag, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title noscript noframes iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption".split())
 #: Set off by an empty line.
@@ -47,11 +51,25 @@ IMPLIED = {
     "thead": (frozenset(["tbody", "thead", "tfoot", "caption"]), frozenset(["table"])),
     "tfoot": (frozenset(["tbody", "thead", "tfoot", "caption"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
+    "optgroup": (frozenset(["option"]), frozenset(["select"])),
 }
 _WALL = frozenset(["td", "th", "caption", "table", "html", "template"])
 _raw_end = {k: re.compile(rf"</{k}(?=[\s/>])", re.I) for k in RAW}
 
 
+def attributes_of(s: str) -> dict[str, str]:
+    """Names in lower case with their values; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(s):
+        value = "".join(values)
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return found
+
+
+def concealed(a: dict[str, str]) -> bool:
+    return "hidden" in a or "style" in a and bool(_CONCEALED.search(_COMMENT.sub("", a["style"])))
+
+
 class Page:
     """Lines of text under construction: collapsed spaces, and breaks that are due before more text."""
 
@@ -148,7 +166,7 @@ class Table:
 
 
 class Element:
-    __slots__ = ("hidden", "mark", "name", "number", "page", "table")
+    __slots__ = ("attributes", "hidden", "mark", "name", "number", "options", "page", "table")
 
     def __init__(self, name: str, hidden: bool):
         self.name, self.hidden = name, hidden
@@ -156,6 +174,9 @@ class Element:
         self.page: Page | None = None
         self.table: Table | None = None
         self.mark = 0
+        self.attributes: dict[str, str] = {}
+        #: Of a drop-down list: the text of each option, whether it is selected and whether it is enabled.
+        self.options: list[tuple[str, bool, bool]] | None = None
 
 
 class Renderer:
@@ -184,6 +205,8 @@ class Renderer:
                 self.begin(name, m[3])
                 if name in RAW:
                     stop = _raw_end[name].search(html, at)
+                    if name == "textarea":
+                        self.area(html[at : stop.start() if stop else end])
                     if name == "xmp":
                         self.page.verbatim(html[at : stop.start() if stop else end])
                     at = stop.start() if stop else end
@@ -193,8 +216,18 @@ class Renderer:
             self.pop()
         return "\n".join(self.page.done())
 
+    def area(self, s: str) -> None:
+        """A text area shows its characters as they are, but for a first line end."""
+        if not self.unseen:
+            s = s.replace("\r\n", "\n")
+            self.page.verbatim(unescape(s[1:] if s[:1] == "\n" else s))
+
     def text(self, s: str) -> None:
-        if self.unseen:
+        if self.stack and self.stack[-1].name == "head" and s.strip():
+            self.pop()
+        if self.unseen or self.stack and self.stack[-1].name in ("select", "optgroup"):
+            return
+        if next((x.name for x in reversed(self.stack) if x.name in ("svg", "text", "foreignobject")), "") == "svg":
             return
         # Text between table parts, outside cells, is only shown if it is not white space.
         if self.stack and self.stack[-1].name in ("table", "tr", "tbody", "thead", "tfoot") and not s.strip():
@@ -203,12 +236,16 @@ class Renderer:
         self.page.verbatim(s) if self.pre else self.page.text(s)
 
     def begin(self, name: str, attributes: str) -> None:
+        if name in ("select", "input", "textarea") and self.inside("select"):
+            self.close(frozenset(["select"]), frozenset())
+            if name == "select":
+                return
         if name in ENDS_P:
             self.close(frozenset(["p"]), _WALL | {"button"})
         if name in IMPLIED:
             self.close(*IMPLIED[name])
-        if name == "body" or (name in BLOCK or name == "br") and name not in ("html", "head"):
-            self.close(frozenset(["head"]), frozenset(["body"]))
+        if name not in IN_HEAD and name not in ("html", "head"):
+            self.close(frozenset(["head"]), frozenset(["body", *RAW, "template"]))
         if name in ("td", "th") and not (self.stack and self.stack[-1].name == "tr") and self.inside("table"):
             self.begin("tr", "")
         if name == "br":
@@ -220,21 +257,42 @@ class Renderer:
         if name in VOID:
             if name == "hr" and not self.unseen:
                 self.page.breaks(2)
-            elif name == "img" and not self.unseen and not _HIDDEN.search(attributes):
-                pass
             return
         if name == "html" and self.inside("html") or name == "body" and self.inside("body"):
             return
-        e = Element(name, name in UNSEEN or bool(attributes) and bool(_HIDDEN.search(attributes)))
+        a = attributes_of(attributes) if attributes else {}
+        unseen = name in UNSEEN or concealed(a) or name in SVG_UNSEEN and self.inside("svg") or name in ("annotation", "annotation-xml") and self.inside("math")
+        # A drop-down list shows its selected option even if that is hidden in the list.
+        listed = name in ("option", "optgroup") and any(x.options is not None for x in self.stack)
+        e = Element(name, unseen and not listed)
+        e.attributes = a
         self.stack.append(e)
         if e.hidden:
             self.unseen += 1
         if self.unseen:
             return
         page = self.page
+        if listed:
+            if name == "option":
+                e.page, self.page = page, Page()
+            return
+        if name == "select" and "multiple" not in a and not ((size := _NUMBER.match(a.get("size", ""))) and int(size[1]) > 1):
+            e.options = []
+            return
+        if name == "optgroup" and a.get("label"):
+            page.breaks(1)
+            page.text(a["label"])
+        elif name == "option" and a.get("label"):
+            page.breaks(1)
+            page.text(a["label"])
+            e.hidden = True
+            self.unseen += 1
+            return
+        if name == "text" and self.inside("svg"):
+            page.breaks(1)
         if name in ("td", "th", "caption") and (table := self.table()):
             e.page, self.page = page, Page()
-            span = _SPAN.search(attributes)
+            span = _NUMBER.match(a.get("colspan", ""))
             e.number = min(max(int(span[1]), 1), 100) if span else 1
             return
         if name == "tr" and (table := self.table()):
@@ -248,7 +306,7 @@ class Renderer:
         elif name == "pre":
             self.pre += 1
         elif name == "ol":
-            start = _START.search(attributes)
+            start = _NUMBER.match(a.get("start", ""))
             e.number = int(start[1]) if start else 1
         elif name == "li":
             owner = next((x for x in reversed(self.stack[:-1]) if x.name in ("ul", "ol", "menu", "dir")), None)
@@ -300,6 +358,21 @@ class Renderer:
         if self.unseen:
             return
         page, name = self.page, e.name
+        if e.options is not None:
+            shown = [x for x, selected, _ in e.options if selected][-1:] or [x for x, _, enabled in e.options if enabled][:1]
+            for x in shown:
+                page.text(x)
+            return
+        if name == "option" and e.page is not None:
+            text, self.page = e.attributes.get("label") or " ".join(filter(None, page.done())), e.page
+            owner = next(x for x in reversed(self.stack) if x.options is not None)
+            group = next((x.attributes for x in reversed(self.stack) if x.name == "optgroup"), {})
+            owner.options.append((text, "selected" in e.attributes, "disabled" not in e.attributes and "disabled" not in group))
+            return
+        if name == "optgroup" and any(x.options is not None for x in self.stack):
+            return
+        if name == "text" and self.inside("svg"):
+            page.breaks(1)
         if e.page is not None:
             lines, self.page = page.done(), e.page
             table = self.table()

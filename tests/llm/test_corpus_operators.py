@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lumentick.llm import decontam, jaccard, mixing, warc
 from lumentick.llm.html import extract, rendered
@@ -143,6 +144,19 @@ after
    b"""
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<p class="hidden md:block">a</p>', "a"), ('<p title="the hidden valley">a</p>', "a"), ('<p style="overflow: hidden !important">a</p>', "a"), ('<p data-style="display:none">a</p>', "a"), ("<p hidden>a</p>b", "b"), ('<p HIDDEN="">a</p>b', "b"), ('<p style="color:red; Display : none !important">a</p>b', "b"), ("<p style=visibility:hidden>a</p>b", "b"), ("<p id=x/hidden>a</p>", "a"),
+        ("<textarea>\na &lt; b\n c</textarea>", "a < b\n c"), ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "x=1"), ("<svg><title>t</title>no<text>one</text><text>t<tspan>wo</tspan></text></svg>", "one\ntwo"),
+        ("x <select><option>a<option selected>b<option>c</select> y", "x b y"), ("<select><option disabled>a</option><option>b</option></select>", "b"), ("<select><option hidden selected>pick</option><option>b</option></select>", "pick"), ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<head><title>T</title><span>a</span> b<p>c", "a b\n\nc"), ("<head><title>T</title>a <b>b</b>", "a b"), ("<head><title>T</title> <a href=x>a</a>", "a"), ("<head><noscript>n</noscript><template>t<span>u</span></template></head>a", "a"),
+    ],
+)
+def test_html_shows_what_browsers_show(html, text):
+    assert extract(html) == text
+
+
 def test_html_layout():
     assert extract(PAGE) == TEXT
     assert extract(None) == extract("") == extract("<p hidden>x") == ""
