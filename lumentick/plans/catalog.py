@@ -206,6 +206,41 @@ def feed_as_of(spark, d):
     return feed.as_of(events(spark, d).select("user_id", "event_id", "value"), ["user_id"], ["event_id"], F.lit(600))
 
 
+# The same calls with bounds for each key, from other tables, so that every row of events is judged.
+
+
+def order_span(spark, d, first: str, last: str):
+    """Each user's least and greatest order key."""
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("o_orderkey").alias(first), F.max("o_orderkey").alias(last))
+
+
+SPAN = "span as (select o_custkey user_id, min(o_orderkey) f, max(o_orderkey) t from orders group by 1)"
+
+
+@query(f"with {SPAN} select e.event_id, e.ts, e.user_id, e.event_type, e.value from events e join span using (user_id) where e.event_id between f and t and e.event_type <> 'error'")
+def feed_time_series_by_user(spark, d):
+    rows = events(spark, d).join(order_span(spark, d, "f", "t"), "user_id")
+    return feed.time_series(rows, F.lit(True), "event_id", F.col("f"), F.col("t"), F.col("event_type") == "error").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+@query(f"with {SPAN} select e.user_id, e.event_id, e.value from events e join span using (user_id) where e.event_id <= t qualify row_number() over (partition by e.user_id order by e.event_id desc) = 1")
+def feed_as_of_by_user(spark, d):
+    rows = events(spark, d).select("user_id", "event_id", "value").join(order_span(spark, d, "f", "t"), "user_id")
+    return feed.as_of(rows, ["user_id"], ["event_id"], F.col("t")).select("user_id", "event_id", "value")
+
+
+@query(f"with {SPAN} select e.user_id, e.event_id, row_number() over (partition by e.user_id order by e.event_id)::bigint as \"position\" from events e join span using (user_id) where e.event_id between f and t")
+def history_range_by_user(spark, d):
+    rows = events(spark, d).select("user_id", "event_id").join(order_span(spark, d, "f", "t"), "user_id")
+    return contracts.scanned(rows, ["user_id"], "event_id", F.col("f"), F.col("t")).drop("f", "t")
+
+
+@query(f"with {SPAN} select e.user_id, e.event_id, row_number() over (partition by e.user_id order by e.event_id desc)::bigint as \"position\" from events e join span using (user_id) where e.event_id between f and t")
+def history_range_descending_by_user(spark, d):
+    rows = events(spark, d).select("user_id", "event_id").join(order_span(spark, d, "f", "t"), "user_id")
+    return contracts.scanned(rows, ["user_id"], "event_id", F.col("t"), F.col("f"), descending=True).drop("f", "t")
+
+
 # Bars.
 
 OHLC = """min_by(price, (ts, seq)) "open", max(price) high, min(price) low, max_by(price, (ts, seq)) "close", count(*) "count", floor(sum(size) * 10000.0::double + 0.5::double) / 10000.0::double volume,
