@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,10 +98,12 @@ def _price_bars(kind: str, size: float):
     renko: bricks of ``size``, a turn needs twice as much.
     """
 
-    def fold(prices: list[float], seqs: list[int]) -> Iterator[tuple]:
-        opened = low = high = prices[0]
-        n, first, bar, trend = 0, seqs[0], 0, 0
-        for p, s in zip(prices, seqs):
+    def fold(ticks: Iterator[tuple[float, int]]) -> Iterator[tuple]:
+        opened = None
+        for p, s in ticks:
+            if opened is None:
+                opened = low = high = p
+                n, first, bar, trend = 0, s, 0, 0
             n += 1
             if kind == "renko":
                 while abs(p - opened) >= size * (2 if trend and (p > opened) != (trend > 0) else 1):
@@ -119,17 +123,23 @@ def _price_bars(kind: str, size: float):
     return fold
 
 
+#: Bars of an output batch.
+BATCH = 10_000
 PRICE_BARS = "symbol string, bar long, seq long, open double, high double, low double, close double, count long"
 
 
 def price_bars(ticks: DataFrame, kind: str, size: float) -> DataFrame:
-    """Bars of kind ``range``, ``momentum`` or ``renko``: each bar depends on the one before, so a symbol is one sequence."""
+    """Bars of kind ``range``, ``momentum`` or ``renko``: each bar depends on the one before, so a symbol is one sequence.
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["ts", "seq"])
-        rows = list(_price_bars(kind, size)(t["price"].tolist(), t["seq"].tolist()))
-        out = pd.DataFrame(rows, columns=["bar", "seq", "open", "high", "low", "close", "count"])
-        out.insert(0, "symbol", t["symbol"].iloc[0])
-        return out
+    Spark sorts it (on disk where need be) and it passes through its task in batches, with one bar's state.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("symbol", "price", "seq"))))
+        made = ((symbol, *bar) for symbol, own in groupby(rows, itemgetter(0)) for bar in _price_bars(kind, size)((p, s) for _, p, s in own))
+        while some := list(islice(made, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), kinds)], names=[x.split()[0] for x in PRICE_BARS.split(", ")])
 
-    return ticks.select("symbol", "ts", "seq", "price").where("price is not null and not isnan(price)").groupBy("symbol").applyInPandas(run, PRICE_BARS)
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64()]
+    valid = ticks.select("symbol", "ts", F.col("seq").cast("long").alias("seq"), F.col("price").cast("double").alias("price")).where("price is not null and not isnan(price)")
+    return valid.repartition("symbol").sortWithinPartitions("symbol", "ts", "seq").mapInArrow(run, PRICE_BARS)

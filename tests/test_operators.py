@@ -192,3 +192,14 @@ def test_tapes(spark, tmp_path):
     (tmp_path / "p.ipf").write_text('#STOCK::=TYPE,SYMBOL,DESCRIPTION\nSTOCK,IBM,"a, b"\nSTOCK,X,\n##COMPLETE\n')
     got = {r["symbol"]: r["fields"].get("DESCRIPTION") for r in tapes.read_profiles(spark, f"{tmp_path}/p.ipf").collect()}
     assert got == {"IBM": "a, b", "X": None}
+
+
+def test_price_bars_hold_no_symbol_as_a_whole(spark):
+    """Bars come out while ticks still arrive, and no group is collected."""
+    from itertools import count
+
+    first = next(bars._price_bars("range", 5.0)((float(i), i) for i in count()))
+    assert first == (0, 0, 0.0, 5.0, 0.0, 5.0, 6)
+    df = spark.createDataFrame([("A", i % 7, i, float(i * i % 31)) for i in range(200)], "symbol string, ts int, seq long, price double")
+    plan = bars.price_bars(df, "renko", 4.0)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
