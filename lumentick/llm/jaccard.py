@@ -412,6 +412,17 @@ def _joined(texts: DataFrame, percent: int, width: int) -> DataFrame:
     return member.unionByName(head).groupBy("leader", "salt").applyInArrow(run, "a long, b long")
 
 
+def _overlaps(low: Column, high: Column, percent: int) -> Column:
+    """Whether a set of ``n`` that has ``shared`` prefix keys in common with sets of sizes ``low`` to ``high`` can be similar to one.
+
+    What both can share beyond their prefixes, less the overlap that is needed, is greatest at an end of
+    the sizes but for rounding: at the upper end it can be less by one than inside.
+    """
+    need = lambda m: F.ceil(F.lit(percent) * (F.col("n") + m) / F.lit(100.0 + percent) - F.lit(1e-9))
+    beyond = lambda m: F.ceil(F.lit(percent / 100.0) * F.greatest("n", m) - F.lit(1e-9)) - 1
+    return (F.col("shared") + beyond(low) >= need(low)) | (F.col("shared") + beyond(high) + 1 >= need(high))
+
+
 def _travelled(met: DataFrame, texts: DataFrame, known: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) between components: sets that share a list with a larger component's sets in a block are compared with that block."""
     sizes = known.groupBy("label").agg(F.count("*").alias("of"))
@@ -425,11 +436,9 @@ def _travelled(met: DataFrame, texts: DataFrame, known: DataFrame, percent: int,
     fits = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
     travel = tagged.select("key", "node", "n", "pos", "label", "of").join(target, "key").where((F.struct("of", "label") < F.col("top")) & fits)
     travel = travel.groupBy("node", "to", "to_salt").agg(F.max("n").alias("n"), F.min("n").alias("least_n"), F.min("pos").alias("pos"), F.min("low").alias("low"), F.max("high").alias("high"), F.count_if(F.col("key").bitwiseAND(1) == 0).alias("shared"), F.max(F.col("key").bitwiseAND(1)).alias("subset"))
-    # The overlap that is needed, and what both sets can share beyond their prefixes, are extreme at the ends of the sizes met.
     ends = [F.greatest(F.col("low"), F.ceil(F.col("n") * F.lit(percent / 100.0) - F.lit(1e-9))), F.least(F.col("high"), F.floor(F.col("n") * F.lit(100.0 / percent) + F.lit(1e-9)))]
     need = lambda m: F.ceil(F.lit(percent) * (F.col("n") + m) / F.lit(100.0 + percent) - F.lit(1e-9))
-    beyond = lambda m: F.ceil(F.lit(percent / 100.0) * F.greatest("n", m) - F.lit(1e-9)) - 1
-    possible = (F.col("least_n") != F.col("n")) | (F.col("subset") == 1) | (F.col("shared") + beyond(ends[0]) >= need(ends[0])) | (F.col("shared") + beyond(ends[1]) >= need(ends[1]))
+    possible = (F.col("least_n") != F.col("n")) | (F.col("subset") == 1) | _overlaps(*ends, percent)
     travel = stored(travel.where(possible & ((F.col("least_n") != F.col("n")) | (F.col("n") - F.col("pos") >= need(ends[0])))).select("node", "n", "to", "to_salt"), "travel")
 
     parts = travel.groupBy("to", "to_salt").agg(_salts(F.col("n")).alias("turns"))

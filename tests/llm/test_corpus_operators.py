@@ -191,3 +191,13 @@ def test_archives(spark):
         want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", max(same) if revisit else None))
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
     assert warc.archived(df.where("page_id = -1")).collect() == []
+
+
+def test_travel_filter_lets_every_possible_size_pass(spark):
+    from pyspark.sql import functions as F
+
+    need, beyond = lambda n, m: -(-75 * (n + m) // 175), lambda n, m: -(-75 * max(n, m) // 100) - 1
+    rows = [(n, low, high, shared, any(shared + beyond(n, m) >= need(n, m) for m in range(low, high + 1))) for n in range(8, 30) for low in range(-(-75 * n // 100), 100 * n // 75 + 1) for high in range(low, 100 * n // 75 + 1) for shared in range(4)]
+    df = spark.createDataFrame(rows, "n long, low long, high long, shared long, want boolean")
+    assert df.where(F.col("want") & ~jaccard._overlaps(F.col("low"), F.col("high"), 75)).collect() == []
+    assert (10, 11, 12, 1, True) in rows
