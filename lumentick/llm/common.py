@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; their files are found by Spark's own file system."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
@@ -60,15 +70,6 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
         yield batch.slice(begin)
 
 
-_M64 = (1 << 64) - 1
-
-
-def _mix_int(x: int) -> int:
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M64
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _M64
-    return x ^ (x >> 31)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -76,22 +77,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = np.array([_mix_int(0x9E3779B97F4A7C15 * (i + 1) & _M64) for i in range(256)], dtype=np.uint64)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        a = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        a[0] = 1
-        np.multiply.accumulate(a, out=a)
-        if n > (1 << 23):
-            return a
-        _powers[kind] = have = a
-    return have
+#: Ranges of more bytes are hashed one by one by a library; shorter ones all at once, eight bytes a step.
+LANES = 64
 
 
 class Words:
@@ -123,19 +110,29 @@ class Words:
         self.start = np.flatnonzero(~white & first[:n])
         self.end = np.flatnonzero(~white & last) + 1
         self.bounds = np.searchsorted(self.start, self.offsets)
-        self._run: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         return self.ranges(self.start, self.end)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes in each range."""
-        n = len(self.buf)
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        if self._run is None:
-            self._run = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self.buf] * _power("up", _BASE, n)[:n], out=self._run[1:])
-        h = (self._run[end] - self._run[start]) * _power("down", _INVERSE, n + 1)[start]
-        return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        """A 64-bit hash of the bytes in each range, mixed after every eight bytes."""
+        size = (end - start).astype(np.int64)
+        h = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        if not len(size):
+            return h
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        # The eight bytes from each position on.
+        lanes = np.ndarray((len(self.buf) + 1,), "<u8", padded.data, 0, (1,))
+        for k in np.flatnonzero(size > LANES):
+            h[k] = xxhash.xxh3_64_intdigest(padded[start[k] : end[k]].data)
+        at = np.flatnonzero((size > 0) & (size <= LANES))
+        where, left = start[at], size[at]
+        while len(at):
+            x = lanes[where]
+            cut = left < 8
+            x[cut] &= (np.uint64(1) << (left[cut].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            h[at] = mix(h[at] ^ x)
+            more = left > 8
+            at, where, left = at[more], where[more] + 8, left[more] - 8
+        return h
