@@ -27,13 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices, stored
+from .common import Words, dropped, mix, slices, stored
 
-#: Shingles with a place of their own at the end of the order; the list is broadcast (12 bytes each).
-LISTED = 1_000_000
+#: Shingles with a place of their own at the end of the order; the list is packed in tasks and broadcast
+#: (9 bytes each, 4.5 MB at most). More or fewer change what a join costs, never its result.
+LISTED = 500_000
 #: Shingles in fewer documents are never listed.
 LEAST = 4
-SIZES = 64
+#: Sets of more shingles are always large: their subsets would cost more than any list.
+SIZES = 256
+#: Equal sets that a task knows; beyond, it forgets them and posts a repeated set again.
+SEEN = 500_000
 #: Cost of a candidate, in keys.
 CANDIDATE_COST = 8.0
 #: Rows of travelling sets that are broadcast to pick texts; beyond, the join shuffles.
@@ -52,7 +56,7 @@ def shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     h = w.hashes()
     words = np.diff(w.bounds)
     g = np.zeros(len(h), dtype=np.uint64)
-    for i in range(width):
+    for i in range(min(width, len(h))):
         g[: len(h) - i] = mix(g[: len(h) - i] * np.uint64(0x9E3779B97F4A7C15) + h[i:])
     parts, bounds = [], np.zeros(len(words) + 1, dtype=np.int64)
     for k, n in enumerate(words):
@@ -146,6 +150,23 @@ def frequencies(docs: DataFrame, width: int, percent: int, id_bits: int, part_bi
     return stored(sent.groupBy("part").applyInArrow(add_any, "id long, n long, n2 double"), "frequencies")
 
 
+def packed(count: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with counts from 2**``least`` on, ascending, and the power of two of each count.
+
+    Tasks pack them, so that the driver gets a few byte strings (``LISTED`` bounds them all together).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column("id")).astype("<u8").tobytes()], pa.binary()), pa.array([np.asarray(batch.column("k")).astype(np.int8).tobytes()], pa.binary())], names=["ids", "ks"])
+
+    level = F.floor(F.log2("n") + F.lit(1e-9)).cast("int")
+    parts = count.where((F.col("id") >= 0) & (level >= least)).select("id", level.alias("k")).mapInArrow(run, "ids binary, ks binary").collect()
+    ids, ks = np.frombuffer(b"".join(r["ids"] for r in parts), "<u8"), np.frombuffer(b"".join(r["ks"] for r in parts), np.int8)
+    order = np.argsort(ids)
+    return ids[order], ks[order]
+
+
 def boundary(sizes: np.ndarray, mean_list: float, percent: int) -> int:
     """The largest small size: least total of subsets enumerated below it and list entries scanned above."""
     scan = 1 + CANDIDATE_COST * max(mean_list - 1, 0)
@@ -200,6 +221,8 @@ def postings(docs: DataFrame, width: int, percent: int, id_bits: int, ids: np.nd
                     m = int(n[k])
                     if m < 2 or doc_id[k] is None or node[k] in seen:
                         continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(node[k])
                     own, r = s[bounds[k] : bounds[k + 1]], rank[bounds[k] : bounds[k + 1]]
                     p = m - required(m, percent) + 1
@@ -328,7 +351,8 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
 
     Defined results: a null or empty text has the empty set, is linked with nothing and is its own
     component; a null id is linked with nothing and has a null component; repeated rows get equal
-    results; an empty table gives an empty result; other columns are not read.
+    results; an empty table gives an empty result; very long texts are one row of a batch and one set; other
+    columns, whatever their names, are not read.
     """
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     shingled = max(total // 6, 1)
@@ -342,18 +366,19 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     many = {int(r["k"]): r["count"] for r in count.where("id >= 0").groupBy(F.floor(F.log2("n") + F.lit(1e-9)).alias("k")).count().collect()}
     while sum(c for k, c in many.items() if k >= least) > LISTED:
         least += 1
-    listed = count.where((F.col("id") >= 0) & (F.floor(F.log2("n") + F.lit(1e-9)) >= least)).select("id", F.floor(F.log2("n") + F.lit(1e-9)).cast("int").alias("k")).toPandas().sort_values("id")
     low = [found.get(-1 - k, (0, 0)) for k in range(least)]
     mean_list = sum(x[1] for x in low) / max(sum(x[0] for x in low), 1)
     small = boundary(np.array([found.get(-1001 - k, (0, 0))[0] for k in range(SIZES + 1)], dtype=float), mean_list, percent)
 
-    entries = postings(docs, width, percent, id_bits, listed["id"].to_numpy().astype(np.uint64), listed["k"].to_numpy().astype(np.int8), small, part_bits)
+    entries = postings(docs, width, percent, id_bits, *packed(count, least), small, part_bits)
+    dropped(count)
     rows = entries.where("kind = 0").select("gid", "idx", "doc_id", "node", "n")
     # Equal sets are one node, named by its least id; rows that repeat an id with other texts are the same node.
     classes = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
     rows = stored(rows.join(classes, "node", "left").select("gid", "idx", "doc_id", "id", "n"), "rows")
     met = entries.where("kind = 1").select("key", "gid", "idx", "pos").join(rows.select("gid", "idx", F.col("id").alias("node"), "n"), ["gid", "idx"])
     met = stored(met.groupBy("key", "node", "n").agg(F.min("pos").alias("pos")), "met")
+    dropped(entries)
     part = stored(_blocks(met, percent), "blocks")
 
     # A text is fetched once, and already knows its block.
@@ -362,6 +387,7 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     known = part.join(labels(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = stored(known, "known")
     more = stored(_travelled(met, texts, known, percent, width), "more_links")
+    dropped(met, texts)
     whole = labels(more).select(F.col("node").alias("label"), F.col("label").alias("root"))
     named = known.join(whole, "label", "left").select(F.col("node").alias("id"), F.coalesce("root", "label").alias("component_id"))
     out = rows.join(named, "id", "left")
