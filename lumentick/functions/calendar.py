@@ -69,13 +69,56 @@ def calendar(spark: SparkSession, text: str, first: date, last: date) -> tuple[D
     return spark.createDataFrame(days, DAYS), spark.createDataFrame(sessions, SESSIONS)
 
 
+def sessions_on(days: DataFrame, text: str) -> DataFrame:
+    """Sessions (in UTC) of each row of ``days`` (day), by Column functions: as lazy as the days themselves."""
+    d = definition(text)
+    minutes = int((m := re.search(r"ec(\d{2})(\d{2})", d.get("sds", ""))) and m[1] or 0) * 60 + int(m and m[2] or 0)
+    marked = marked_days(days, text)
+    number = F.weekday("day") + 1
+    plan = lambda x: F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, a, b in _sessions(x)]) if _sessions(x) else F.array().cast("array<struct<kind:string,a:int,b:int>>")
+    chosen = plan(d.get("0", ""))
+    for k in range(1, 8):
+        if str(k) in d:
+            chosen = F.when(number == k, plan(d[str(k)])).otherwise(chosen)
+    t = marked.where("trading").select("day", "short", F.explode(chosen).alias("s"))
+    end = F.when(F.col("short") & (F.col("s.kind") == "REGULAR"), F.greatest(F.col("s.a"), F.col("s.b") - minutes)).otherwise(F.col("s.b"))
+    at = lambda x: F.convert_timezone(F.lit(d["tz"]), F.lit("UTC"), F.col("day").cast("timestamp_ntz") + F.make_dt_interval(mins=x))
+    return t.select("day", F.col("s.kind").alias("kind"), at(F.col("s.a")).alias("open"), at(end).alias("close"))
+
+
+def marked_days(days: DataFrame, text: str) -> DataFrame:
+    """(day, trading, short) of each row of ``days`` (day)."""
+    d = definition(text)
+    key = F.date_format("day", "yyyyMMdd")
+    inside = lambda x: key.isin(*x) if x else F.lit(False)
+    trading = (F.weekday("day") + 1).isin(*[int(x) for x in d.get("td", "12345")]) & ~inside(sorted(_dates(d.get("hd", ""))))
+    return days.select("day", trading.alias("trading"), inside(sorted(_dates(d.get("sd", "")))).alias("short"))
+
+
 def session_of(rows: DataFrame, sessions: DataFrame, ts: str = "ts") -> DataFrame:
-    """Rows with the ``kind`` of the session that holds their time, NO_TRADING outside all."""
-    t = sessions.select(F.explode(F.array_distinct(F.array(F.to_date("open"), F.to_date("close")))).alias("__day"), "kind", F.col("open").alias("__open"), F.col("close").alias("__close"))
-    plain = rows.withColumn("__day", F.to_date(ts))
-    near = plain.join(t, "__day").where((F.col(ts) >= F.col("__open")) & (F.col(ts) < F.col("__close"))).select(*rows.columns, "kind")
-    keys = [c for c in rows.columns]
-    return rows.join(near.select(*keys, "kind"), keys, "left").withColumn("kind", F.coalesce("kind", F.lit("NO_TRADING")))
+    """Rows with the ``kind`` of the session that holds their time, NO_TRADING outside all and for a null time.
+
+    A day's few sessions are gathered into one row, so that each row meets one day and stays one row.
+    """
+    t = sessions.select(F.explode(F.array_distinct(F.array(F.to_date("open"), F.to_date("close")))).alias("__day"), "kind", F.col("open").alias("o"), F.col("close").alias("c"))
+    plan = t.groupBy("__day").agg(F.array_sort(F.collect_list(F.struct("o", "c", "kind"))).alias("__all"))
+    at = F.col(ts)
+    found = F.get(F.filter("__all", lambda x: (at >= x["o"]) & (at < x["c"])), F.lit(0))["kind"]
+    return rows.withColumn("__day", F.to_date(ts)).join(plan, "__day", "left").select(*rows.columns, F.coalesce(found, F.lit("NO_TRADING")).alias("kind"))
+
+
+def nearest_session(rows: DataFrame, sessions: DataFrame, ts: str = "ts", kinds: tuple[str, ...] = ("PRE_MARKET", "REGULAR", "AFTER_MARKET")) -> DataFrame:
+    """Rows with ``near_open`` and ``near_close`` of the session of these kinds that holds the time or is nearest to it; the earlier of two as near.
+
+    Sessions of the week around are compared: they are few whatever the rows.
+    """
+    t = sessions.where(F.col("kind").isin(*kinds)).select(F.explode(F.sequence(F.date_sub(F.to_date("open"), 7), F.date_add(F.to_date("close"), 7))).alias("__day"), F.struct(F.col("open").alias("o"), F.col("close").alias("c")).alias("s"))
+    plan = t.groupBy("__day").agg(F.array_sort(F.collect_list("s")).alias("__all"))
+    at = F.col(ts)
+    micros = lambda x: F.unix_micros(x.cast("timestamp"))
+    far = lambda x: F.when(at < x["o"], micros(x["o"]) - micros(at)).when(at >= x["c"], micros(at) - micros(x["c"]) + 1).otherwise(F.lit(0).cast("long"))
+    best = F.array_min(F.transform("__all", lambda x: F.struct(far(x).alias("far"), x["o"].alias("o"), x["c"].alias("c"))))
+    return rows.withColumn("__day", F.to_date(ts)).join(plan, "__day", "left").withColumn("__s", best).select(*rows.columns, F.col("__s.o").alias("near_open"), F.col("__s.c").alias("near_close"))
 
 
 def trading_ordinal(days: DataFrame) -> DataFrame:

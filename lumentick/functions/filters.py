@@ -21,31 +21,52 @@ CLASSES = {
     "spread": r"=.*",
     "futopt": r"\./.*",
     "bsopt": r"\.[^/].*",
-    "bs": r"[^./=$~#].*",
+    "bs": r"[^/.=].*",
+    "opt": r"\..*",
+    "cs": r"[^.].*",
+    "csopt": r"\.[^/].*",
 }
 
 
 def glob(c: Column, pattern: str) -> Column:
     """``*`` stands for any text (two of them at most), ``[A-K]`` for a character class; ``!`` first negates.
 
-    The wildcard symbol passes every pattern.
+    Text between ``\\Q`` and ``\\E`` stands for itself. The wildcard symbol passes every pattern.
     """
     negated = pattern.startswith("!")
     body = pattern[1:] if negated else pattern
-    if "**" in body or body.count("*") > 2:
+    parts = re.findall(r"\\Q.*?\\E|\[[^\]]+\]|\*|[^\[*\\]+|.", body, re.S)
+    stars = [k for k, p in enumerate(parts) if p == "*"]
+    if len(stars) > 2 or stars[1:] == [k + 1 for k in stars[:1]]:
         raise ValueError(f"{pattern!r}: at most two separate * are allowed")
     if re.match(r"[a-z]", body):
         raise ValueError(f"{pattern!r}: leading lower-case letters are reserved")
-    parts = re.findall(r"\[[^\]]*\]|\*|[^\[*]+", body)
-    java = "".join(".*" if p == "*" else p if p[0] == "[" else "".join("\\" + x if not x.isalnum() else x for x in p) for p in parts)
+    java = ""
+    for p in parts:
+        if p in ("[", "\\"):
+            raise ValueError(f"{pattern!r}: an open class or quote")
+        if p == "*":
+            java += ".*"
+        elif p[0] == "[":
+            # Letters, digits and ranges keep their meaning; marks of the regular expression's classes don't.
+            java += "[" + re.sub(r"([\[\\&~|])", r"\\\1", p[1:-1]) + "]"
+        else:
+            java += "".join("\\" + x if not x.isalnum() and x.isascii() else x for x in (p[2:-2] if p.startswith("\\Q") else p))
     found = c.rlike(f"^(?s:{java})$")
     return (c == "*") | (~found if negated else found)
 
 
+def record_glob(record: Column, pattern: str) -> Column:
+    """A pattern of record names; the colon that marks it is optional."""
+    return glob(record, pattern.removeprefix(":"))
+
+
 def java_hash(c: Column) -> Column:
-    """The 32-bit string hash s[0]*31^(n-1) + ..., as an unsigned number."""
+    """The 32-bit string hash s[0]*31^(n-1) + ... over UTF-16 units, as an unsigned number."""
     codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: (a * 31 + x) % F.lit(1 << 32))
+    high = lambda x: F.lit(0xD800) + F.call_function("div", x - F.lit(0x10000), F.lit(0x400))
+    units = F.flatten(F.transform(codes, lambda x: F.when(x > 0xFFFF, F.array(high(x), F.lit(0xDC00) + (x - F.lit(0x10000)) % 0x400)).otherwise(F.array(x))))
+    return F.aggregate(units, F.lit(0).cast("long"), lambda a, x: (a * 31 + x) % F.lit(1 << 32))
 
 
 def hash_group(c: Column, n: int) -> Column:

@@ -48,7 +48,8 @@ def canonical(c: Column, digits: int = 14) -> Column:
     places = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
     unit = F.pow(F.lit(10.0), F.abs(places))
     near = F.when(places >= 0, F.rint(c * unit) / unit).otherwise(F.rint(c / unit) * unit)
-    return F.when((c == 0) | F.isnan(c), c).otherwise(near)
+    # Beyond these powers of ten a scale is no number any more, and a value is left as it is.
+    return F.when((c == 0) | F.isnan(c) | (F.abs(c) < 1e-290) | (F.abs(c) > 1e300), c).otherwise(near)
 
 
 def choose(selector: Column, cases: dict[tuple[str, ...], Column], default: Column) -> Column:
@@ -60,9 +61,17 @@ def choose(selector: Column, cases: dict[tuple[str, ...], Column], default: Colu
 
 
 def underlyings(c: Column) -> Column:
-    """``SE 50;FSLR 20`` as a map from symbol to shares per contract."""
+    """``SE 50;FSLR 20`` as a map from symbol to shares per contract; of a repeated symbol the first counts."""
     pairs = F.filter(F.split(F.coalesce(c, F.lit("")), r";\s*"), lambda x: x != "")
-    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, " ", 1).alias("k"), F.substring_index(x, " ", -1).try_cast("double").alias("v"))))
+    named = F.transform(pairs, lambda x: F.struct(F.substring_index(x, " ", 1).alias("k"), F.substring_index(x, " ", -1).try_cast("double").alias("v")))
+    keys = F.transform(named, lambda x: x["k"])
+    return F.map_from_entries(F.filter(named, lambda x, i: F.array_position(keys, x["k"]) == i + 1))
+
+
+def underlyings_text(c: Column) -> Column:
+    """The text of such a map, by symbol; whole numbers without a point."""
+    number = lambda v: F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(" "), number(e["value"]))), ";")
 
 
 def shares(c: Column, symbol: Column) -> Column:

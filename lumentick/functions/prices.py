@@ -32,9 +32,9 @@ def increment(price: Column, text: str, direction: int = 0) -> Column:
 
 
 def decimal(c: Column, digits: int = 10) -> Column:
-    """Without binary noise after ``digits`` places."""
+    """Without binary noise after ``digits`` places; numbers too large to have such places stay."""
     unit = F.lit(float(10**digits))
-    return F.floor(c * unit + F.lit(0.5)) / unit
+    return F.when(F.abs(c * unit) < 2.0**52, F.rint(c * unit) / unit).otherwise(c)
 
 
 def rounded(price: Column, text: str, direction: int = 0) -> Column:
@@ -61,9 +61,70 @@ def precision(price: Column, text: str) -> Column:
     return out
 
 
+#: Ways to round to a whole number: towards and away from zero, down and up, to the nearest with ties in three ways.
+MODES = ("UP", "DOWN", "CEILING", "FLOOR", "HALF_UP", "HALF_DOWN", "HALF_EVEN", "UNNECESSARY")
+
+
+def whole(c: Column, mode: str = "HALF_UP") -> Column:
+    """``c`` (a double) rounded to a whole number; UNNECESSARY is an error where it isn't one."""
+    size, sign = F.abs(c), F.signum(c)
+    low = F.when(F.rint(size) > size, F.rint(size) - 1).otherwise(F.rint(size))
+    rest = size - low
+    up = {
+        "UP": rest > 0, "DOWN": F.lit(False), "CEILING": (rest > 0) & (c > 0), "FLOOR": (rest > 0) & (c < 0), "HALF_UP": rest >= 0.5, "HALF_DOWN": rest > 0.5, "HALF_EVEN": F.rint(size) > low,
+        "UNNECESSARY": F.when(rest > 0, F.raise_error(F.lit("rounding would be necessary")).cast("boolean")).otherwise(False),
+    }[mode]
+    return F.when(F.isnan(c) | (size >= 2.0**52), c).otherwise(sign * (low + up.cast("double")))
+
+
+def scaled(c: Column, digits: int, mode: str = "HALF_UP") -> Column:
+    """``c`` rounded to ``digits`` places after the point (negative: before it)."""
+    unit = F.lit(float(10 ** abs(digits)))
+    return F.when(F.abs(c) >= 2.0**52, c).otherwise(whole(c * unit, mode) / unit if digits >= 0 else whole(c / unit, mode) * unit)
+
+
+def significant(c: Column, digits: int, mode: str = "HALF_UP") -> Column:
+    """``c`` rounded to ``digits`` significant digits."""
+    unit = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(c))))
+    return F.when((c == 0) | F.isnan(c) | (F.abs(c) < 1e-290) | (F.abs(c) > 1e290), c).otherwise(whole(decimal(c * unit, 2), mode) / unit)
+
+
 def half_up(c: Column, digits: int) -> Column:
-    unit = F.lit(float(10**digits))
-    return F.signum(c) * F.floor(F.abs(c) * unit + F.lit(0.5)) / unit
+    return scaled(c, digits, "HALF_UP")
+
+
+def combined(kind: str, first: Column, second: Column) -> Column:
+    """sum, difference, average, product, quotient, max or min of two doubles, without binary noise; NaN and null as they come."""
+    made = {
+        "sum": first + second, "difference": first - second, "average": (first + second) / 2, "product": first * second, "max": F.when(F.isnan(first) | F.isnan(second), F.lit(float("nan"))).otherwise(F.greatest(first, second)),
+        "min": F.when(F.isnan(first) | F.isnan(second), F.lit(float("nan"))).otherwise(F.least(first, second)),
+        "quotient": F.when(second != 0, F.try_divide(first, second)).otherwise(F.when((first == 0) | F.isnan(first), F.lit(float("nan"))).otherwise(F.signum(first) * F.lit(float("inf")))),
+    }[kind]
+    return decimal(made)
+
+
+#: The tiny decimals' powers of ten by their four low bits (0 has NaN and the infinities); the mantissa stands above them.
+POWERS = tuple(9 - k for k in range(1, 16))
+
+
+def tiny_decimal(c: Column) -> Column:
+    """A double as a tiny decimal, an int of a 28-bit mantissa and four bits of scale: the least scale that holds it to nine places."""
+    out = F.lit(0)
+    for k, power in enumerate(POWERS, 1):
+        m = c / F.lit(10.0**power) if power >= 0 else c * F.lit(10.0**-power)
+        fits = (F.abs(m) < 2.0**27) & (F.abs(m - F.rint(m)) < 1e-9 * F.greatest(F.abs(m), F.lit(1.0)))
+        out = F.when(fits & (out == 0), F.rint(m).cast("int") * 16 + k).otherwise(out)
+    return out.cast("int")
+
+
+def from_tiny_decimal(c: Column) -> Column:
+    """The double of a tiny decimal; a scale of 0 has NaN, the infinities, and mantissas of 25 bits in finer units."""
+    scale, m = c.bitwiseAND(F.lit(15)), F.shiftright(c, 4).cast("double")
+    kind, fine = F.shiftright(c, 4).bitwiseAND(F.lit(7)), F.shiftright(c, 7).cast("double")
+    out = F.when(kind == 1, float("inf")).when(kind == 7, float("-inf")).when(kind == 2, fine / 1e7).when(kind == 3, fine / 1e8).when(kind == 6, fine / 128).otherwise(float("nan"))
+    for k, power in enumerate(POWERS, 1):
+        out = F.when(scale == k, m * F.lit(10.0**power) if power >= 0 else m / F.lit(10.0**-power)).otherwise(out)
+    return out
 
 
 def defined(first: Column, second: Column, both: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,54 +24,64 @@ def with_exchange(c: Column, code: str) -> Column:
     return F.concat(base_symbol(c), F.lit(f"&{code}" if code else ""), attributes)
 
 
-def attributes(c: Column) -> Column:
-    """A map of the attributes; the one without a name has an empty key."""
+def _pairs(c: Column) -> Column:
+    """The attributes as an array of (key, value), the first of each key; the one without a name has an empty key."""
     inner = F.regexp_extract(c, r"\{([^}]*)\}$", 1)
-    pairs = F.filter(F.split(inner, ","), lambda x: x != "")
-    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=?", "").alias("v"))))
+    split = F.transform(F.filter(F.split(inner, ","), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_replace(x, "^[^=]*=?", "").alias("value")))
+    keys = F.transform(split, lambda x: x["key"])
+    return F.filter(split, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+
+
+def attributes(c: Column) -> Column:
+    """A map of the attributes; of a repeated key the first one counts."""
+    return F.map_from_entries(_pairs(c))
 
 
 def attribute(c: Column, key: str) -> Column:
     """An attribute's value; null without it."""
-    return F.try_element_at(attributes(c), F.lit(key))
+    return F.get(F.filter(_pairs(c), lambda x: x["key"] == key), F.lit(0))["value"]
 
 
-def with_attribute(c: Column, key: str, value: str | None) -> Column:
+def with_attribute(c: Column, key: str, value: str | Column | None) -> Column:
     """With an attribute set (None removes it); attributes stay in the order of their keys."""
-    rest = F.map_filter(attributes(c), lambda k, v: k != key)
+    rest = F.filter(_pairs(c), lambda x: x["key"] != key)
     if value is not None:
-        rest = F.map_concat(rest, F.create_map(F.lit(key), F.lit(value)))
-    text = F.array_join(F.transform(F.array_sort(F.map_entries(rest)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+        rest = F.concat(rest, F.array(F.struct(F.lit(key).alias("key"), (F.lit(value) if isinstance(value, str) else value).alias("value"))))
+    text = F.array_join(F.transform(F.array_sort(rest), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     head = F.regexp_replace(c, r"\{[^}]*\}$", "")
     return F.when(text == "", head).otherwise(F.concat(head, F.lit("{"), text, F.lit("}")))
 
 
 def spread_symbol(legs: Column) -> Column:
-    """``=A+2*B-C`` of an array of (symbol, quantity)."""
-
-    def leg(x: Column) -> Column:
-        q = x["quantity"]
-        size = F.abs(q)
-        factor = F.when(size == 1, F.lit("")).otherwise(F.concat(F.format_string("%s", size.cast("string")), F.lit("*")))
-        return F.concat(F.when(q < 0, F.lit("-")).otherwise(F.lit("+")), factor, x["symbol"])
-
-    return F.concat(F.lit("="), F.regexp_replace(F.array_join(F.transform(legs, leg), ""), r"^\+", ""))
+    """``=A+2*B-C`` of an array of (symbol, quantity): larger quantities first, then by symbol (backwards for negative ones).
 
+    Legs of quantity 0 are left out; a single leg of quantity 1 is the symbol itself; no legs give an empty symbol.
+    """
 
-#: Spellings of period types and the milliseconds of one (months and years as average).
-PERIODS = {
-    "t": 0, "s": 1_000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000, "mo": 2_592_000_000, "o": 2_592_000_000, "y": 31_536_000_000, "v": 0, "p": 0, "pm": 0, "pr": 0,
-}
+    def place(x: Column, y: Column) -> Column:
+        by_name = F.when(x["symbol"] < y["symbol"], -1).when(x["symbol"] > y["symbol"], 1).otherwise(0)
+        return F.when(x["quantity"] > y["quantity"], -1).when(x["quantity"] < y["quantity"], 1).otherwise(F.when(x["quantity"] < 0, -by_name).otherwise(by_name))
 
-
-def period_millis(c: Column) -> Column:
-    """Milliseconds of a candle period such as ``15m``, ``d`` or ``2h``; 0 where it is not a time."""
-    text = F.lower(c)
-    count = F.coalesce(F.nullif(F.regexp_extract(text, r"^(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double"), F.lit(1.0))
-    unit = F.regexp_extract(text, r"([a-z]+)$", 1)
-    short = F.regexp_replace(F.regexp_replace(unit, r"^(min|minute|minutes)$", "m"), r"^(day|days)$", "d")
-    table = F.create_map(*[x for k, v in PERIODS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    return (count * F.coalesce(F.try_element_at(table, short), F.lit(0))).cast("long")
+    def leg(x: Column) -> Column:
+        size = F.abs(x["quantity"])
+        number = F.when((size == F.floor(size)) & (size < 2**31), size.cast("long").cast("string")).otherwise(size.cast("string"))
+        return F.concat(F.when(x["quantity"] < 0, "-").otherwise("+"), F.when(size == 1, "").otherwise(F.concat(number, F.lit("*"))), x["symbol"])
+
+    some = F.array_sort(F.filter(legs, lambda x: x["quantity"] != 0), place)
+    text = F.concat(F.lit("="), F.regexp_replace(F.array_join(F.transform(some, leg), ""), r"^\+", ""))
+    one = F.get(some, F.lit(0))
+    return F.when(F.size(some) == 0, "").when((F.size(some) == 1) & (one["quantity"] == 1), one["symbol"]).otherwise(text)
+
+
+def exchanges(pattern: str) -> str:
+    """The exchange codes A to Z that a character class (brackets may be left out) holds; others are an error."""
+    if not pattern:
+        return ""
+    cls = re.compile(pattern if pattern[0] in "[\\" else f"[{pattern}]")
+    found = [chr(k) for k in range(128) if cls.fullmatch(chr(k))]
+    if wrong := [x for x in found if not "A" <= x <= "Z"]:
+        raise ValueError(f"no exchange codes: {', '.join(wrong)}")
+    return "".join(found)
 
 
 def option_suffix(c: Column) -> Column:

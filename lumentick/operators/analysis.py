@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ def top(rows: DataFrame, symbol: str, n: int) -> DataFrame:
 
 def totals(rows: DataFrame, record: str, symbol: str, value: str) -> DataFrame:
     """Count and sum by (record, symbol), by record, and of all."""
-    return rows.groupingSets([[record, symbol], [record], []], record, symbol).agg(F.count("*").alias("n"), (F.floor(F.sum(value) * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)).alias("total"))
+    return rows.groupingSets([[record, symbol], [record], []], record, symbol).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
 def compared(first: DataFrame, second: DataFrame, keys: list[str], payload: list[str], time: str) -> DataFrame:
@@ -31,30 +31,48 @@ def compared(first: DataFrame, second: DataFrame, keys: list[str], payload: list
     return both.groupBy(*keys).agg(F.count("t1").alias("received1"), F.count("t2").alias("received2"), F.count(delay).alias("matched"), F.sum(delay).alias("delay_us"))
 
 
+def common_length(first: list, second: list) -> int:
+    """The length of the longest common subsequence, a row of the table at a time as the bits of one number."""
+    at: dict = {}
+    for k, v in enumerate(second):
+        at[v] = at.get(v, 0) | 1 << k
+    whole = (1 << len(second)) - 1
+    open_ = whole
+    for v in first:
+        met = open_ & at.get(v, 0)
+        open_ = ((open_ + met) | (open_ - met)) & whole
+    return len(second) - open_.bit_count()
+
+
 def aligned(first: DataFrame, second: DataFrame, key: str, payload: str, order: str) -> DataFrame:
     """Number of rows of each key in the longest common subsequence of two streams.
 
-    Quadratic in a key's rows, as the measure asks for; keys are spread over tasks.
+    A key is one pair of sequences, as the measure asks for: its rows are in one task, and the work is
+    their product over 64. ``compared`` is the form for keys of any size.
     """
+    kind = first.schema[key].dataType.simpleString()
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = a.sort_values(order)[payload].tolist(), b.sort_values(order)[payload].tolist()
-        row = [0] * (len(y) + 1)
-        for v in x:
-            last = 0
-            for j, u in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if v == u else max(row[j], row[j - 1])
-        name = (a if len(a) else b)[key].iloc[0]
-        return pd.DataFrame({key: [name], "received1": [len(x)], "received2": [len(y)], "matched": [row[-1]]})
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (t.sort_by(order).column(payload).to_pylist() if t.num_rows else [] for t in (a, b))
+        n = common_length(x, y)
+        return pa.table([(a if a.num_rows else b).column(key).slice(0, 1), pa.array([len(x)]), pa.array([len(y)]), pa.array([n])], names=[key, "received1", "received2", "matched"])
 
-    kind = first.schema[key].dataType.simpleString()
     cut = lambda t: t.select(key, payload, order)
-    return cut(first).groupBy(key).cogroup(cut(second).groupBy(key)).applyInPandas(run, f"{key} {kind}, received1 long, received2 long, matched long")
+    return cut(first).groupBy(key).cogroup(cut(second).groupBy(key)).applyInArrow(run, f"{key} {kind}, received1 long, received2 long, matched long")
+
+
+def compared_totals(first: DataFrame, second: DataFrame, record: str, symbol: str, payload: list[str], time: str) -> DataFrame:
+    """``compared`` by (record, symbol), by record and of all: also dropped shares in percent and the mean delay in µs."""
+    each = compared(first, second, [record, symbol], payload, time)
+    total = each.groupingSets([[record, symbol], [record], []], record, symbol).agg(*[F.sum(c).alias(c) for c in ("received1", "received2", "matched", "delay_us")])
+    lost = lambda n: F.try_divide(F.lit(100.0) * (F.col(n) - F.col("matched")), F.col(n))
+    return total.withColumn("dropped1", lost("received1")).withColumn("dropped2", lost("received2")).withColumn("mean_delay_us", F.try_divide(F.col("delay_us").cast("double"), F.col("matched")))
 
 
 def dropped(rows: DataFrame, key: str, per_million: int) -> DataFrame:
     """Rows without those whose key's hash falls into the given share: the same rows each time."""
-    return rows.where(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(1_000_000)) >= per_million)
+    head = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.where(head % 1_000_000 >= per_million)
 
 
 def described(rows: DataFrame, record: str, symbol: str, values: list[str]) -> DataFrame:
@@ -71,3 +89,18 @@ def subscription_totals(subscription: DataFrame, record: str, symbol: str, categ
 def as_json(rows: DataFrame) -> DataFrame:
     """Each row as one JSON line."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
+def field_statistics(rows: DataFrame, record: str, symbol: str, category) -> DataFrame:
+    """Of each record and symbol category: rows, symbols, bytes of the rows as text and of their symbols, and bits a symbol takes by frequency."""
+    text = F.octet_length(F.to_csv(F.struct(*rows.columns)))
+    by = [F.col(record).alias("record"), category.alias("category")]
+    each = rows.select(*by, F.col(symbol).cast("string").alias("s"), text.alias("b")).groupBy("record", "category", "s").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    # Entropy of counts n: log2(N) - sum(n log2 n) / N.
+    total = each.groupBy("record", "category").agg(F.sum("n").alias("n"), F.count("*").alias("symbols"), F.sum("b").alias("bytes"), F.sum(F.col("n") * F.octet_length("s")).alias("symbol_bytes"), F.sum(F.col("n") * F.log2("n")).alias("h"))
+    return total.select("record", "category", "n", "symbols", "bytes", "symbol_bytes", (F.log2("n") - F.col("h") / F.col("n")).alias("symbol_bits"))
+
+
+def as_xml(rows: DataFrame, name: str = "event") -> DataFrame:
+    """Each row as one XML element, line breaks and indents taken out."""
+    return rows.select(F.regexp_replace(F.to_xml(F.struct(*rows.columns), {"rowTag": name}), r"\n\s*", "").alias("line"))

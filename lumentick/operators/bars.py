@@ -14,12 +14,6 @@ from .contracts import ticker_last
 from .ordering import numbered, running
 
 
-def quantised(c: Column, digits: int = 6) -> Column:
-    """Rounds half up on a binary grid; other engines that use the same formula agree at ties."""
-    unit = F.lit(float(10**digits))
-    return F.floor(c * unit + F.lit(0.5)) / unit
-
-
 def slice_start(ts: str, seconds: int) -> Column:
     """floor(ts / period) * period, for time stamps without zone."""
     since = F.unix_seconds(F.col(ts).cast("timestamp"))
@@ -31,7 +25,7 @@ def ohlc(ticks: DataFrame, *keys: str) -> DataFrame:
     at, value = F.struct("ts", "seq"), F.col("price") * F.col("size")
     return ticks.groupBy(*keys).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count("*").alias("count"),
-        quantised(F.sum("size"), 4).alias("volume"), F.coalesce(quantised(F.try_divide(F.sum(value), F.sum("size")), 4), F.lit(0.0)).alias("vwap"),
+        F.sum("size").alias("volume"), F.coalesce(F.try_divide(F.sum(value), F.sum("size")), F.lit(0.0)).alias("vwap"),
     )
 
 
@@ -60,13 +54,15 @@ def level_bars(ticks: DataFrame, seconds: int, width: float) -> DataFrame:
 def session_bars(ticks: DataFrame, sessions: DataFrame, seconds: int) -> DataFrame:
     """Bars aligned to the start of the session that holds the tick; ticks outside every session are left out.
 
-    ``sessions`` has (day, open, close) with at most one session a day.
+    ``sessions`` has (day, open, close), any number a day; of sessions that overlap the earliest counts.
     """
-    held = ticks.withColumn("day", F.to_date("ts")).join(sessions, "day").where((F.col("ts") >= F.col("open")) & (F.col("ts") < F.col("close")))
-    opened = F.unix_seconds(F.col("open").cast("timestamp"))
-    since = F.unix_seconds(F.col("ts").cast("timestamp")) - opened
+    plan = sessions.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("open", "close"))).alias("__all"))
+    ts = F.col("ts")
+    held = ticks.withColumn("day", F.to_date("ts")).join(plan, "day").withColumn("__s", F.get(F.filter("__all", lambda x: (ts >= x["open"]) & (ts < x["close"])), F.lit(0))).where("__s is not null")
+    opened = F.unix_seconds(F.col("__s.open").cast("timestamp"))
+    since = F.unix_seconds(ts.cast("timestamp")) - opened
     start = F.timestamp_seconds(opened + F.floor(since / F.lit(seconds)) * F.lit(seconds)).cast("timestamp_ntz")
-    return ohlc(held.withColumn("start", start).drop("open", "close"), "symbol", "start")
+    return ohlc(held.withColumn("start", start).drop("__all", "__s"), "symbol", "start")
 
 
 def tick_candles(ticks: DataFrame) -> DataFrame:
@@ -83,7 +79,7 @@ def filled_slices(ticks: DataFrame, seconds: int) -> DataFrame:
     grid = span.select("symbol", F.explode(F.sequence("a", "b", step)).alias("start"))
     t = grid.join(bars, ["symbol", "start"], "left").fillna(0.0, ["v", "pv"])
     so_far = Window.partitionBy("symbol").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    return t.select("symbol", "start", quantised(F.col("v"), 4).alias("volume"), F.coalesce(quantised(F.try_divide("pv", "v"), 4), F.lit(0.0)).alias("vwap"), quantised(F.sum("v").over(so_far), 4).alias("total_volume"))
+    return t.select("symbol", "start", F.col("v").alias("volume"), F.coalesce(F.try_divide("pv", "v"), F.lit(0.0)).alias("vwap"), F.sum("v").over(so_far).alias("total_volume"))
 
 
 def conflated(rows: DataFrame, keys: list[str], order: list[str], seconds: int) -> DataFrame:

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = ["expiration", "multiplier", "cfi"]
+#: What a series of options has in common, in the order in which series are sorted.
+SERIES = ["expiration", "last_trade", "multiplier", "spc", "additional_underlyings", "mmy", "option_type", "expiration_style", "settlement_style", "cfi"]
+
+
+def series_fields(profiles: DataFrame) -> list[str]:
+    """Those fields of a series that a table has."""
+    return [c for c in SERIES if c in profiles.columns]
 
 
 def chains(profiles: DataFrame) -> DataFrame:
     """Series of each underlying and product: sorted strikes, and symbols of calls and puts by strike.
 
     Takes profiles (symbol, type, cfi, underlying, product, expiration, strike, multiplier): options whose
-    CFI begins with OC or OP, with an expiration and a finite strike. A series' CFI has X as second letter.
+    CFI begins with OC or OP, with an expiration and a finite strike. A series is told by all fields of
+    ``SERIES`` that the profiles have; its CFI has X as second letter.
     """
     right = F.substring("cfi", 1, 2)
-    options = profiles.where((F.col("type") == "OPTION") & right.isin("OC", "OP") & (F.col("expiration") != 0) & F.col("strike").isNotNull() & ~F.isnan("strike"))
+    options = profiles.where((F.col("type") == "OPTION") & right.isin("OC", "OP") & (F.col("expiration") != 0) & F.col("strike").isNotNull() & ~F.isnan("strike") & (F.abs("strike") < float("inf")))
     names = F.array_distinct(F.filter(F.array("product", "underlying"), lambda x: x.isNotNull() & (x != "")))
     t = options.withColumn("chain", F.explode(names)).withColumn("call", right == "OC").withColumn("cfi", F.concat(F.lit("OX"), F.substring("cfi", 3, 10)))
     of = lambda want: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("call") == want, F.struct("strike", "symbol")))), lambda x: x["symbol"]), ",")
-    return t.groupBy("chain", *SERIES).agg(F.array_sort(F.collect_set("strike")).alias("strikes"), of(True).alias("calls"), of(False).alias("puts"))
+    return t.groupBy("chain", *series_fields(t)).agg(F.array_sort(F.collect_set("strike")).alias("strikes"), of(True).alias("calls"), of(False).alias("puts"))
 
 
 def strikes_around(strikes: DataFrame, keys: list[str], strike: float, n: int) -> DataFrame:
@@ -31,5 +38,5 @@ def strikes_around(strikes: DataFrame, keys: list[str], strike: float, n: int) -
 
 
 def series_order(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``place``: the series' order within ``keys``, by expiration, multiplier and CFI."""
-    return series.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*SERIES)).cast("long"))
+    """Adds ``place``: the series' order within ``keys``, by the fields of ``SERIES`` in turn."""
+    return series.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*series_fields(series))).cast("long"))

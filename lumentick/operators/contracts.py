@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 #: Rows kept for each key unless told otherwise.
 RETENTION = {"candle": 8000, "time_series": 1000}
 
@@ -71,28 +73,73 @@ def scanned(rows: DataFrame, keys: list[str], time: str, start: Column, end: Col
     return inside.withColumn("position", F.row_number().over(w).cast("long"))
 
 
-def available(rows: DataFrame, keys: list[str], time: str, start: Column, end: Column) -> DataFrame:
-    """Least and greatest time of each key, and the number of rows in the inclusive range."""
-    return rows.groupBy(*keys).agg(F.min(time).alias("min_time"), F.max(time).alias("max_time"), F.count_if(F.col(time).between(start, end)).alias("available"))
+def available(rows: DataFrame, keys: list[str], time: str, start: Column, end: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """Least and greatest time of each key, and the number of rows in the inclusive range; zeros for ``wanted`` keys without rows."""
+    found = rows.groupBy(*keys).agg(F.min(time).alias("min_time"), F.max(time).alias("max_time"), F.count_if(F.col(time).between(start, end)).alias("available"))
+    if wanted is None:
+        return found
+    return wanted.select(*keys).distinct().join(found, keys, "left").fillna(0, ["min_time", "max_time", "available"])
+
+
+def examined(rows: DataFrame, subscription: DataFrame | None = None, record: str = "record", symbol: str = "symbol") -> DataFrame:
+    """All stored rows, or those that a subscription asks for."""
+    return rows if subscription is None else subscribed(rows, subscription, record, symbol)
+
+
+def stored_rows(rows: DataFrame, subscription: DataFrame, everything: Column | None = None, record: str = "record", symbol: str = "symbol") -> DataFrame:
+    """What is kept without a reader: rows that a subscription asks for, and those that the ``everything`` condition holds for.
+
+    A key without a subscription and outside the condition loses its state.
+    """
+    if everything is None:
+        return subscribed(rows, subscription, record, symbol)
+    kept = F.coalesce(everything, F.lit(False))
+    return rows.where(kept).unionByName(subscribed(rows.where(~kept), subscription, record, symbol))
+
+
+def timed(rows: DataFrame, records: DataFrame, record: str = "record") -> DataFrame:
+    """Rows of records that have a time coordinate (``records``: record, has_time); a history ignores the others."""
+    return rows.join(records.where("has_time").select(F.col("record").alias(record)).distinct(), record, "left_semi")
+
+
+def history_of_last(rows: DataFrame, keys: list[str], order: list[str], from_time: Column | None = None) -> DataFrame:
+    """A history of one row a key, its last value; none if that is older than ``from_time``."""
+    last = ticker_last(rows, keys, order)
+    return last if from_time is None else last.where(F.col(order[0]) >= from_time)
+
+
+def stream_of(rows: DataFrame, keys: list[str], order: list[str], conflate: bool = False, values: list[str] | None = None) -> DataFrame:
+    """A stream made from another contract: every row as it is, or (conflated) only changes of a key's value."""
+    return ticker_changes(rows, keys, order, values or [c for c in rows.columns if c not in keys and c not in order]) if conflate else rows
+
+
+def changed_subscription(now: DataFrame, added: DataFrame | None = None, removed_: DataFrame | None = None, on: tuple[str, ...] = ("record", "symbol")) -> DataFrame:
+    """A subscription with symbols added, then others removed; each once."""
+    out = now.select(*on) if added is None else now.select(*on).union(added.select(*on))
+    out = out.distinct()
+    return out if removed_ is None else out.join(removed_.select(*on).distinct(), list(on), "left_anti")
+
 
+def snapshots(rows: DataFrame, keys: list[str], arrival: str, begin: Column, snip: Column, time: str, remove: Column | None = None, bucket: Column | None = None) -> DataFrame:
+    """What a history holds in the end, where BEGIN starts a snapshot anew and SNIP ends it early.
 
-def snapshots(rows: DataFrame, keys: list[str], arrival: str, begin: Column, snip: Column, time: str) -> DataFrame:
-    """History after its last snapshot: each BEGIN starts anew, a SNIP drops what is older than its time.
+    A snapshot comes from its newest time downwards. It sweeps what is stored at later times than its
+    least one so far and isn't sent again; times below stay. A SNIP drops everything older than its own time.
+    A row that arrives last for its time and is a removal leaves nothing.
 
-    A new snapshot replaces the range that it covers, from its first row's time down to its last one's;
-    stored rows of that range which it doesn't send again are swept. Rows outside stay.
+    A row is swept by any later snapshot that has come down below its time, so the least of the later
+    snapshots' least times decides: one row a snapshot is summed up along a key, from its end. With
+    ``bucket`` (not decreasing along ``arrival``) a hot key is cut for the numbering of snapshots, too.
     """
-    order = Window.partitionBy(*keys).orderBy(arrival)
-    t = rows.withColumn("__s", F.sum(begin.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    span = Window.partitionBy(*keys, "__s")
-    t = t.withColumn("__low", F.min(time).over(span)).withColumn("__high", F.max(time).over(span)).withColumn("__snip", F.max(F.when(snip, F.col(time))).over(span))
-    # A row is swept by the first later snapshot whose range holds its time without sending it again.
-    last = ticker_last(t, [*keys, time], [arrival])
-    ranges = t.where("__s > 0").groupBy(*keys, F.col("__s").alias("__s2")).agg(F.min("__low").alias("__l2"), F.max("__high").alias("__h2"), F.max("__snip").alias("__n2"))
-    later = last.join(ranges, keys).where((F.col("__s2") > F.col("__s")) & ((F.col(time).between(F.col("__l2"), F.col("__h2"))) | (F.col(time) < F.col("__n2"))))
-    swept = later.select(*keys, time).distinct()
-    kept = last.join(swept, [*keys, time], "left_anti").where(F.col("__snip").isNull() | (F.col(time) >= F.col("__snip")))
-    return kept.select(*rows.columns)
+    t = rows.withColumn("__begin", begin.cast("long")).withColumn("__snip", F.when(snip, F.col(time))).withColumn("__gone", F.lit(False) if remove is None else remove)
+    t = running(t, keys, [arrival], F.lit(0) if bucket is None else bucket, F.col("__begin"), "__s")
+    after = Window.partitionBy(*keys).orderBy(F.col("__s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    spans = t.groupBy(*keys, "__s").agg(F.min(time).alias("__low"), F.max("__snip").alias("__high"))
+    spans = spans.select(*keys, "__s", F.min("__low").over(after).alias("__swept"), F.max("__high").over(after).alias("__cut"))
+    within = Window.partitionBy(*keys, "__s").orderBy(F.col(arrival).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    last = ticker_last(t.withColumn("__own", F.max("__snip").over(within)), [*keys, time], [arrival]).join(spans, [*keys, "__s"])
+    stays = F.coalesce(F.col(time) <= F.col("__swept"), F.lit(True)) & F.coalesce(F.col(time) >= F.col("__cut"), F.lit(True)) & F.coalesce(F.col(time) >= F.col("__own"), F.lit(True))
+    return last.where(stays & ~F.col("__gone")).select(*rows.columns)
 
 
 def transactions(rows: DataFrame, keys: list[str], arrival: str, pending: Column) -> DataFrame:

@@ -49,3 +49,22 @@ def final(rows: DataFrame, keys: list[str], index: str = "index", arrival: str =
     t = released(rows, keys, arrival)
     t = t.withColumn("__last", F.max("segment").over(Window.partitionBy(*keys))).where("segment = __last").drop("__last")
     return _last(t, keys, index, arrival).where(~_has(REMOVE)).select(*rows.columns)
+
+
+def indexed_list(rows: DataFrame, keys: list[str], index: str = "index", arrival: str = "arrival", source: str | None = None, most: int | None = None) -> DataFrame:
+    """The indexed events of each key as a model shows them: snapshots clear a source, flags are zeroed, ``position`` is by (source, index).
+
+    Beyond ``most`` entries the first ones (of the least index) are dropped.
+    """
+    own = [*keys, *([source] if source else [])]
+    t = final(rows, own, index, arrival).withColumn("flags", F.lit(0))
+    if most is not None:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in ([source] if source else [])], F.col(index).desc())
+        t = t.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+    place = Window.partitionBy(*keys).orderBy(*([source] if source else []), index)
+    return t.withColumn("position", F.row_number().over(place).cast("long"))
+
+
+def time_series_list(rows: DataFrame, keys: list[str], time: str, from_time: Column, arrival: str = "arrival", most: int | None = None) -> DataFrame:
+    """The same ordered by time, of times from ``from_time`` on."""
+    return indexed_list(rows.where(F.col(time) >= from_time), keys, time, arrival, None, most)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-PENDING, REMOVE, BEGIN, END, SNIP = 1, 2, 4, 8, 16
+from lumentick.functions.filters import listed
+from lumentick.operators.transactions import BEGIN, END, PENDING, REMOVE, SNIP
 
 
 def event_time(rows: DataFrame, ts: str = "ts") -> DataFrame:
@@ -76,3 +78,45 @@ def transactions(rows: DataFrame, key: str) -> DataFrame:
 
     cut = rows.select(key, "arrival", "index", F.col("value").cast("double").alias("value"), F.col("flags").cast("int").alias("flags"))
     return cut.groupBy(key).applyInPandasWithState(run, out, held, "append", GroupStateTimeout.NoTimeout)
+
+
+def snapshot_then_updates(stored: DataFrame, stream: DataFrame, deliver: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """A new reader first gets the stored rows, then each batch of the stream; after a restart only what is new."""
+    stored_columns = stored.columns
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if number == 0:
+            deliver(stored)
+        deliver(rows.select(*stored_columns))
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def listed_updates(stream: DataFrame, read_list: Callable[[], DataFrame], deliver: Callable[[DataFrame], None], checkpoint: str, symbol: str = "symbol") -> StreamingQuery:
+    """Rows whose symbol is in a list that may change: each batch reads the list anew."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        deliver(listed(rows, read_list(), symbol))
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def aligned_streams(first: DataFrame, second: DataFrame, keys: list[str], wait: str) -> DataFrame:
+    """Rows of two streams that meet on ``keys`` within ``wait`` of each other; each stream waits for the other so long, not longer."""
+    a = event_time(first).withWatermark("ts", wait).alias("a")
+    b = event_time(second).withWatermark("ts", wait).alias("b")
+    near = F.expr(f"b.ts between a.ts - interval {wait} and a.ts + interval {wait}")
+    for k in keys:
+        near = near & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return a.join(b, near)
+
+
+def sticky(subscriptions: DataFrame, key: str, period: str) -> DataFrame:
+    """Of subscription events (key, ts, active): windows of time in which a key counts as subscribed, its last event and ``period`` long."""
+    return event_time(subscriptions).withWatermark("ts", period).where("active").groupBy(key, F.session_window("ts", period).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("from"), F.col("w.end").alias("until"), "n")
+
+
+def clamped(rows: DataFrame, keys: list[str], order: list[str], time: str = "ts") -> DataFrame:
+    """Late rows of a batch get the greatest time of the rows before them."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(time, F.max(time).over(w))
