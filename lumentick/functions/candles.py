@@ -6,10 +6,12 @@ without price levels. Values that name nothing give null parts, and stay as they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .symbols import attribute, base_symbol, exchange_code, with_attribute
+from .symbols import attribute, base_symbol, exchange_code, pairs, with_pairs
 
 #: Period types in their order, with their short names and milliseconds (0: no time; months and years roundly).
 TYPES = {
@@ -21,13 +23,22 @@ PRICES, ALIGNMENTS = ("last", "bid", "ask", "mark", "s"), ("m", "s")
 NUMBER = r"^[0-9.eE+-]*"
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that it names several times, computed once a row."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def period_type(c: Column) -> Column:
     """The short name of a type given by its short name, by the beginning of its name, or by its name and an s; null for others."""
-    out, upper = F.lit(None).cast("string"), F.upper(c)
-    for name, (short, _) in reversed(TYPES.items()):
-        begins = (F.length(c) > 0) & F.lit(name).startswith(upper)
-        out = F.when(begins | (c.endswith("s") & (upper == name + "S")), short).otherwise(out)
-    return F.when(c.isin(*[short for short, _ in TYPES.values()]), c).otherwise(out)
+
+    def named(x: Column) -> Column:
+        out, upper = F.lit(None).cast("string"), F.upper(x)
+        for name, (short, _) in reversed(TYPES.items()):
+            begins = (F.length(x) > 0) & F.lit(name).startswith(upper)
+            out = F.when(begins | (x.endswith("s") & (upper == name + "S")), short).otherwise(out)
+        return F.when(x.isin(*[short for short, _ in TYPES.values()]), x).otherwise(out)
+
+    return _bound(c, named)
 
 
 def period_value(c: Column) -> Column:
@@ -43,8 +54,11 @@ def _plain(x: Column) -> Column:
 
 def period(c: Column) -> Column:
     """The shortest spelling of a period: ``15Minutes`` and ``15min`` give ``15m``, ``1day`` gives ``d``; null if it is none."""
-    value, kind = period_value(c), period_type(F.regexp_replace(c, NUMBER, ""))
-    return F.when(value == 1, kind).otherwise(F.concat(_plain(value), kind))
+
+    def spelt(p: Column) -> Column:
+        return F.when(p["value"] == 1, p["kind"]).otherwise(F.concat(_plain(p["value"]), p["kind"]))
+
+    return _bound(F.struct(period_value(c).alias("value"), period_type(F.regexp_replace(c, NUMBER, "")).alias("kind")), spelt)
 
 
 def period_millis(c: Column) -> Column:
@@ -69,13 +83,17 @@ def _level(c: Column) -> Column:
 
 def normal(c: Column) -> Column:
     """With each attribute in its shortest spelling; an empty data type goes. What is no valid value stays."""
-    price, tho, step, align, level = (attribute(c, k) for k in ("price", "tho", "", "a", "pl"))
-    small = F.lower(align)
-    for key, found in (
-        ("price", _beginning(price, PRICES)), ("tho", F.when(F.lower(tho) == "true", "true")), ("", period(step)), ("a", F.when(small.isin(*ALIGNMENTS), small)), ("pl", _level(level)),
-    ):
-        c = F.when(found.isNotNull(), with_attribute(c, key, found)).otherwise(c)
-    return F.when(attribute(c, "dt") == "", with_attribute(c, "dt", None)).otherwise(c)
+
+    def shortest(e: Column) -> Column:
+        key, value = e["key"], e["value"]
+        small = F.lower(value)
+        found = F.when(key == "price", _beginning(value, PRICES)).when(key == "tho", F.when(small == "true", "true")).when(key == "", period(value)).when(key == "a", F.when(small.isin(*ALIGNMENTS), small)).when(key == "pl", _level(value))
+        return F.struct(key.alias("key"), F.coalesce(found, value).alias("value"))
+
+    def written(pairs: Column) -> Column:
+        return with_pairs(c, F.filter(F.transform(pairs, shortest), lambda e: (e["key"] != "dt") | (e["value"] != "")))
+
+    return _bound(pairs(c), written)
 
 
 def parts(c: Column) -> Column:

@@ -92,5 +92,5 @@ def cast(c: Column, source: str, target: str) -> Column:
     if target == "boolean":
         return F.lower(c) == "true" if source == "string" else c.cast("double") != 0 if source == "number" else c.isNotNull()
     if target == "date":
-        return F.coalesce(F.try_to_date(c, F.lit("yyyy-MM-dd")), F.try_to_date(c, F.lit("yyyyMMdd"))) if source == "string" else F.date_from_unix_date(c.cast("int"))
+        return F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "yyyyMMdd")) if source == "string" else F.date_from_unix_date(c.cast("int"))
     return c.try_cast("double") if source == "string" else F.unix_date(c).cast("double") if source == "date" else c.cast("double")

@@ -70,8 +70,13 @@ def underlyings(c: Column) -> Column:
 
 def underlyings_text(c: Column) -> Column:
     """The text of such a map, by symbol; whole numbers without a point."""
+    return entries_text(F.map_entries(c))
+
+
+def entries_text(c: Column) -> Column:
+    """The same of an array of (key, value)."""
     number = lambda v: F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
-    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(" "), number(e["value"]))), ";")
+    return F.array_join(F.transform(F.array_sort(c), lambda e: F.concat(e["key"], F.lit(" "), number(e["value"]))), ";")
 
 
 def shares(c: Column, symbol: Column) -> Column:

@@ -108,13 +108,13 @@ POWERS = tuple(9 - k for k in range(1, 16))
 
 
 def tiny_decimal(c: Column) -> Column:
-    """A double as a tiny decimal, an int of a 28-bit mantissa and four bits of scale: the least scale that holds it to nine places."""
-    out = F.lit(0)
+    """A double as a tiny decimal, an int of a 28-bit mantissa and four bits of scale: the first scale that holds its first nine digits."""
+    found = []
     for k, power in enumerate(POWERS, 1):
         m = c / F.lit(10.0**power) if power >= 0 else c * F.lit(10.0**-power)
-        fits = (F.abs(m) < 2.0**27) & (F.abs(m - F.rint(m)) < 1e-9 * F.greatest(F.abs(m), F.lit(1.0)))
-        out = F.when(fits & (out == 0), F.rint(m).cast("int") * 16 + k).otherwise(out)
-    return out.cast("int")
+        fits = (F.abs(m) < 2.0**27) & (F.abs(m - F.rint(m)) <= 1e-9 * F.abs(m))
+        found.append(F.when(fits, F.rint(m).cast("int") * 16 + k))
+    return F.coalesce(*found, F.lit(0)).cast("int")
 
 
 def from_tiny_decimal(c: Column) -> Column:

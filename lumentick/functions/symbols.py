@@ -24,7 +24,7 @@ def with_exchange(c: Column, code: str) -> Column:
     return F.concat(base_symbol(c), F.lit(f"&{code}" if code else ""), attributes)
 
 
-def _pairs(c: Column) -> Column:
+def pairs(c: Column) -> Column:
     """The attributes as an array of (key, value), the first of each key; the one without a name has an empty key."""
     inner = F.regexp_extract(c, r"\{([^}]*)\}$", 1)
     split = F.transform(F.filter(F.split(inner, ","), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_replace(x, "^[^=]*=?", "").alias("value")))
@@ -34,20 +34,25 @@ def _pairs(c: Column) -> Column:
 
 def attributes(c: Column) -> Column:
     """A map of the attributes; of a repeated key the first one counts."""
-    return F.map_from_entries(_pairs(c))
+    return F.map_from_entries(pairs(c))
 
 
 def attribute(c: Column, key: str) -> Column:
     """An attribute's value; null without it."""
-    return F.get(F.filter(_pairs(c), lambda x: x["key"] == key), F.lit(0))["value"]
+    return F.get(F.filter(pairs(c), lambda x: x["key"] == key), F.lit(0))["value"]
 
 
 def with_attribute(c: Column, key: str, value: str | Column | None) -> Column:
     """With an attribute set (None removes it); attributes stay in the order of their keys."""
-    rest = F.filter(_pairs(c), lambda x: x["key"] != key)
+    rest = F.filter(pairs(c), lambda x: x["key"] != key)
     if value is not None:
         rest = F.concat(rest, F.array(F.struct(F.lit(key).alias("key"), (F.lit(value) if isinstance(value, str) else value).alias("value"))))
-    text = F.array_join(F.transform(F.array_sort(rest), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return with_pairs(c, rest)
+
+
+def with_pairs(c: Column, found: Column) -> Column:
+    """With other attributes, an array of (key, value), in the order of their keys."""
+    text = F.array_join(F.transform(F.array_sort(found), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     head = F.regexp_replace(c, r"\{[^}]*\}$", "")
     return F.when(text == "", head).otherwise(F.concat(head, F.lit("{"), text, F.lit("}")))
 

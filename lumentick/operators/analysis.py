@@ -53,9 +53,10 @@ def aligned(first: DataFrame, second: DataFrame, key: str, payload: str, order:
     kind = first.schema[key].dataType.simpleString()
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = (t.sort_by(order).column(payload).to_pylist() if t.num_rows else [] for t in (a, b))
+        # A side without rows has the key's column alone.
+        x, y = (t.sort_by(order).column(payload).to_pylist() if payload in t.column_names else [] for t in (a, b))
         n = common_length(x, y)
-        return pa.table([(a if a.num_rows else b).column(key).slice(0, 1), pa.array([len(x)]), pa.array([len(y)]), pa.array([n])], names=[key, "received1", "received2", "matched"])
+        return pa.table([(a if x else b).column(key).slice(0, 1), pa.array([len(x)]), pa.array([len(y)]), pa.array([n])], names=[key, "received1", "received2", "matched"])
 
     cut = lambda t: t.select(key, payload, order)
     return cut(first).groupBy(key).cogroup(cut(second).groupBy(key)).applyInArrow(run, f"{key} {kind}, received1 long, received2 long, matched long")

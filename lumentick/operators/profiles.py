@@ -102,11 +102,15 @@ def primary(rows: DataFrame, symbol: Column) -> DataFrame:
     """Where ``symbol`` is one of the additional underlyings, it changes places with the underlying, shares per contract with it."""
     map_ = lists.underlyings(F.col("additional_underlyings"))
     hit = (F.col("underlying") != symbol) & F.map_contains_key(map_, symbol)
-    rest = F.map_concat(F.map_filter(map_, lambda k, v: (k != symbol) & (k != F.col("underlying"))), F.create_map("underlying", F.col("spc").cast("double")))
-    return rows.withColumns({
+    others = F.filter(F.map_entries(map_), lambda e: (e["key"] != symbol) & (e["key"] != F.col("underlying")))
+    rest = F.concat(others, F.array(F.struct(F.col("underlying").alias("key"), F.col("spc").cast("double").alias("value"))))
+    made = {
+        "additional_underlyings": F.when(hit, lists.entries_text(rest)).otherwise(F.col("additional_underlyings")),
         "underlying": F.when(hit, symbol).otherwise(F.col("underlying")), "spc": F.when(hit, F.try_element_at(map_, symbol)).otherwise(F.col("spc")),
-        "additional_underlyings": F.when(hit, lists.underlyings_text(rest)).otherwise(F.col("additional_underlyings")),
-    })
+    }
+    # In two steps, so that no name means a column that the same step makes.
+    t = rows.withColumn("__made", F.struct(*[c.alias(k) for k, c in made.items()]))
+    return t.withColumns({k: F.col("__made")[k] for k in made}).drop("__made")
 
 
 def renamed(rows: DataFrame, old: str, new: str) -> DataFrame:
@@ -151,7 +155,7 @@ def exchange_product(rows: DataFrame, description: Column, multiplier: Column, f
     """
     kind, data = F.col("type"), F.split("exchange_data", ";")
     comma = F.instr(description, ",,")
-    month = F.coalesce(F.when(F.length("mmy") == 6, F.date_format(F.try_to_date(F.concat("mmy", F.lit("01")), F.lit("yyyyMMdd")), "MMM-yyyy")), F.when(F.col("expiration") > 0, F.date_format(F.date_from_unix_date(F.col("expiration").cast("int")), "MMM-yyyy")))
+    month = F.coalesce(F.when(F.length("mmy") == 6, F.date_format(F.try_to_date(F.concat("mmy", F.lit("01")), "yyyyMMdd"), "MMM-yyyy")), F.when(F.col("expiration") > 0, F.date_format(F.date_from_unix_date(F.col("expiration").cast("int")), "MMM-yyyy")))
     cut = lambda middle: F.concat(F.substr(description, F.lit(1), comma), middle, F.substr(description, comma + 1, F.length(description)))
     text = F.when(comma == 0, description).when(kind == "PRODUCT", F.concat(F.substr(description, F.lit(1), comma - 1), F.substr(description, comma + 1, F.length(description)))).when(month.isNull(), description).otherwise(cut(month))
     old, new = F.get(data, F.lit(2)).try_cast("double"), F.when(kind == "FUTURE", future).when(kind == "OPTION", option)
@@ -177,5 +181,5 @@ def counted_changes(before: DataFrame, after: DataFrame, key: str, fields: list[
     any_ = F.lit(False)
     for x in differs.values():
         any_ = any_ | x
-    out = both.agg(*[F.count_if(x).alias(f) for f, x in differs.items()], F.count_if(any_).alias("*"))
-    return out.unpivot([], list(out.columns), "field", "n")
+    out = both.agg(F.array(*[F.struct(F.lit(f).alias("field"), F.count_if(x).alias("n")) for f, x in (differs | {"*": any_}).items()]).alias("each"))
+    return out.select(F.inline("each"))

@@ -301,7 +301,7 @@ def feed_observed(spark, d):
     return feed.observed(events(spark, d), "event_type", "user_id")
 
 
-@query("select strftime(ts, '%Y%m%d-%H%M%S') || '.' || lpad((epoch_ms(ts) % 1000)::varchar, 3, '0') || chr(9) || event_type || chr(9) || event_id || chr(9) || user_id line from events")
+@query("select strftime(ts, '%Y%m%d-%H%M%S') || '.' || lpad((epoch_us(ts) // 1000 % 1000)::varchar, 3, '0') || chr(9) || event_type || chr(9) || event_id || chr(9) || user_id line from events")
 def feed_dumped(spark, d):
     return feed.dumped(events(spark, d).select("event_id", "ts", "user_id", "event_type"), "event_type", "ts")
 
@@ -474,7 +474,7 @@ def book_best_adjacent(spark, d):
     return book.best_adjacent(book.book(orders_book(spark, d)))
 
 
-@query(f"""with {SALES}, q as (select symbol, exchange, ts "time", seq, price * 0.5::double bid, price * 2.0::double ask, size, l_linenumber from sales join lineitem on seq = l_orderkey * 10 + l_linenumber),
+@query(f"""with {SALES}, q as (select symbol, exchange, ts "time", seq, price * 0.5::double bid, price * 2.0::double ask, size from sales),
 o as (select symbol, exchange, "time", seq, 'BUY' side, bid price, size, 5 source from q union all select symbol, exchange, "time", seq, 'SELL', ask, size, 6 from q)
 select symbol, exchange, exchange || 'AB' market_maker, "time", seq, 'AGGREGATE' scope, side, price, size, source::bigint source, source::bigint * 281474976710656 + ascii(exchange)::bigint * 4294967296 + ascii(exchange)::bigint * 65536 + 65 * 256 + 66 "index" from o""")
 def orders_from_maker_quotes(spark, d):
@@ -818,9 +818,8 @@ def floor_division(spark, d):
     return events(spark, d).select("event_id", times.floor_div(x, 7).alias("q"), times.floor_mod(x, 7).alias("r"), ms.alias("ms"), nanos.alias("nanos"))
 
 
-@query("""with t as (select event_id, ts, strftime(ts, case event_id % 4 when 0 then '%Y%m%d-%H%M%S' when 1 then '%Y-%m-%dT%H:%M:%S' when 2 then '%Y-%m-%d %H:%M:%S' else '%Y%m%d' end) t from events)
-select event_id, case when event_id % 4 = 3 then date_trunc('day', ts)::timestamp when event_id % 4 = 1 then date_trunc('second', ts)::timestamp - interval '90 minutes' else date_trunc('second', ts)::timestamp end parsed, epoch_ms(ts) - epoch_ms(ts) % 1000 millis,
- strftime(ts, '%Y%m%d-%H%M%S') || 'Z' formatted from t""")
+@query("""select event_id, case when event_id % 4 = 3 then date_trunc('day', ts)::timestamp when event_id % 4 = 1 then date_trunc('second', ts)::timestamp - interval '90 minutes' else date_trunc('second', ts)::timestamp end parsed, epoch_us(ts) // 1000000 * 1000 millis,
+ strftime(ts, '%Y%m%d-%H%M%S') || 'Z' formatted from events""")
 def time_formats(spark, d):
     ts, k = F.col("ts"), F.col("event_id") % 4
     text = F.when(k == 0, F.date_format(ts, "yyyyMMdd-HHmmss")).when(k == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:30"))).when(k == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(ts, "yyyyMMdd"))
@@ -898,7 +897,7 @@ def profile_expressions(spark, d):
     return t.select(F.col("p_partkey").alias("k"), chosen.alias("chosen"), lists.like(F.col("p_brand"), "Brand#[1-3].*").alias("liked"), lists.replace_first(F.col("p_name"), "[aeiou]", "_").alias("replaced"))
 
 
-@query("""select event_id, value / nullif(event_id % 3, 0) quotient_some, case when event_id % 3 = 0 then case when value > 0 then 'inf' when value < 0 then '-inf' else 'nan' end end quotient_none, (ts::date - date '2024-01-01')::double days, (ts::date + 10)::varchar later, event_type || 'x' joined, (value::bigint)::varchar "text" from events""")
+@query("""select event_id, value / nullif(event_id % 3, 0) quotient_some, case when event_id % 3 = 0 then case when value > 0 then 'inf' when value < 0 then '-inf' else 'nan' end end quotient_none, (ts::date - date '2024-01-01')::double "days", (ts::date + 10)::varchar later, event_type || 'x' joined, (value::bigint)::varchar "text" from events""")
 def field_arithmetic(spark, d):
     n, day = (F.col("event_id") % 3).cast("double"), F.to_date("ts")
     q = fields.arithmetic("/", F.col("value"), n, ("number", "number"))
