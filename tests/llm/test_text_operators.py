@@ -149,20 +149,46 @@ def test_language_model(docs, rows, none):
     assert lm.scores(none).collect() == []
 
 
-def test_class_probabilities_add_up_to_one():
-    counts = np.zeros((lm.CLASSES,) * 3)
-    counts[1, 2, 3], counts[2, 3, 1], counts[lm.BEGIN, lm.BEGIN, 2] = 50, 40, 30
-    near, far, norm = lm.train(counts, steps=50).tables()
-    p = np.exp(near[2, : lm.BEGIN] + far[1, : lm.BEGIN] - norm[1, 2])
-    assert abs(p.sum() - 1) < 1e-9 and p.argmax() == 3
-
-
-def test_training_uses_counts_that_draws_would_miss():
-    counts = np.zeros((lm.CLASSES,) * 3)
-    counts[1, 2, 3], counts[2, 3, 1], counts[5, 6, 1] = 2e12, 1e12, 100
-    near, far, norm = lm.train(counts).tables()
-    p = np.exp(near[6, : lm.BEGIN] + far[5, : lm.BEGIN] - norm[5, 6])
-    assert p.argmax() == 1 and p[1] > 0.5
+def small_vocabulary():
+    weight = np.array([5.0, 4, 3, 2, 2, 1, 1, 3])
+    v = lm.Vocabulary(np.arange(6, dtype="<u8"), np.arange(6), np.full(1 << 16, 6), np.zeros((8, 2)), weight, 7, np.array([0, 8]))
+    return v.renumbered(np.array([0, 0, 1, 1, 2, 2, 2, 0]))
+
+
+@pytest.mark.parametrize("far_apart", [False, True])
+def test_probabilities_add_up_to_one(far_apart):
+    v = small_vocabulary()
+    model = lm.LogBilinear(v)
+    if far_apart:
+        model.parts[2][:, lm.DIM] = [300, 0, -300]
+        model.parts[3][:, lm.DIM] = np.linspace(-200, 200, v.size)
+    p = 10 ** model.logs(np.full(v.size, 1), np.full(v.size, 2), np.arange(v.size))
+    assert abs(p.sum() - 1) < 1e-5
+
+
+def test_contrast_equals_the_plain_gradient():
+    rng = np.random.default_rng(3)
+    h, vectors = np.ones((5, lm.DIM + 1), np.float32), rng.normal(0, 1, (4, lm.DIM + 1)).astype(np.float32)
+    h[:, : lm.DIM] = rng.normal(0, 1, (5, lm.DIM))
+    noise, own = np.array([0.5, 2.0, 8.0, 1.0], np.float32), np.array([0, 1, 1, 3, 2])
+    up, back = lm._contrast(h, vectors, noise, own, np.empty(1 << 10, np.float32))
+    # The odds that an output is data, not noise: exp(score) to its noise.
+    score = (h @ vectors.T).astype(float)
+    g = -noise / (1 + noise * np.exp(-score))
+    g[np.arange(5), own] += 1 / (1 + np.exp(score[np.arange(5), own]) / noise[own])
+    assert np.allclose(up, g.T @ h, atol=1e-4) and np.allclose(back, g @ vectors[:, : lm.DIM], atol=1e-4)
+
+
+def test_training_finds_what_follows():
+    v = small_vocabulary()
+    model = lm.LogBilinear(v)
+    scale = [np.ones_like(x) for x in model.parts]
+    one, two, c = (np.tile(x, 50) for x in ([1, 3, 5], [0, 2, 4], [3, 6, 1]))
+    for _ in range(200):
+        model.step(one, two, c, scale, 0.2)
+    for x, y, want in ((1, 0, 3), (3, 2, 6), (5, 4, 1)):
+        p = model.logs(np.full(v.size, x), np.full(v.size, y), np.arange(v.size))
+        assert p.argmax() == want and 10 ** p[want] > 0.5
 
 
 def test_words_of_sliced_columns():
