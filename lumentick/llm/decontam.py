@@ -118,7 +118,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
     """
     bad = stored(contaminated(docs, benchmark, window, share).where("contaminated").select("row", F.coalesce("doc_id", F.lit(-1)).alias("id")).distinct(), "contaminated")
     bad = bad.select(F.col("row").alias("__row"), F.col("id").alias("__id"))
-    same = (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__row")) & (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("__id"))
+    same = (F.xxhash64(docs["doc_id"], docs["text"]) == bad["__row"]) & (F.coalesce(docs["doc_id"], F.lit(-1)) == bad["__id"])
     return docs.join(F.broadcast(bad) if bad.count() <= broadcast_rows else bad, same, "left_anti")
 
 

@@ -201,3 +201,12 @@ def test_travel_filter_lets_every_possible_size_pass(spark):
     df = spark.createDataFrame(rows, "n long, low long, high long, shared long, want boolean")
     assert df.where(F.col("want") & ~jaccard._overlaps(F.col("low"), F.col("high"), 75)).collect() == []
     assert (10, 11, 12, 1, True) in rows
+
+
+def test_clean_keeps_columns_with_clashing_names(spark):
+    from lumentick.llm import decontam
+
+    item = " ".join(f"word{chr(97 + k)}" for k in range(14))
+    docs = spark.createDataFrame([(1, item, 5, 6), (2, "clean text", 7, 8), (None, None, 1, 2)], "doc_id long, text string, __row long, __id long")
+    got = decontam.clean(docs, spark.createDataFrame([("i1", item)], "item_id string, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == [(2, "clean text", 7, 8), (None, None, 1, 2)]
