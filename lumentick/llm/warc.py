@@ -26,6 +26,8 @@ MAGIC = 0x184D2A5D
 SMALLEST_REVISIT = 1000
 #: The dictionary's size, and the bytes of records it is built from; both bounds are per archive.
 DICTIONARY, SAMPLE = 1 << 16, 2 << 20
+#: Parts into which each digest is cut for the join that finds revisits, so that no task holds all copies of a page.
+PARTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = "archive int, path string, n_records long"
@@ -140,13 +142,15 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "2000-01-01T0
     """Write a record for each row of (page_id, url, html); gives the manifest of archives.
 
     Which row of equal payloads is kept comes from a count by digest that Spark adds up before the
-    shuffle; the join back splits large digests. A repeated task writes an archive of its own.
+    shuffle. The join back is on the digest and a part of it that the row's id and url give, so the copies
+    of one page are spread over ``PARTS`` keys. A repeated task writes an archive of its own.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
     first = rows.where(F.col("bytes") >= smallest).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")).join(first, ["digest", "part"], "left")
     again = (F.col("bytes") >= smallest) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "digest", F.when(again, F.col("first")).alias("refers_to"), again.alias("again"), "html")
 
@@ -172,7 +176,8 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "2000-01-01T0
 def read(manifest: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record of the archives.
 
-    A response's digest is computed from its payload and must be the one in its head.
+    A response's digest is computed from its payload and must be the one in its head. There are as many
+    tasks as archives; the manifest has one row an archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +204,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 if got:
                     yield _rows(got)
 
-    return manifest.repartition(F.col("archive")).mapInArrow(run, RECORDS)
+    return manifest.repartition(max(manifest.count(), 1), F.col("archive")).mapInArrow(run, RECORDS)
 
 
 def _rows(got: list[tuple]) -> pa.RecordBatch:
