@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices, stored
-from .tokens import load
+from .tokens import load, plain_specials, settings
 
 #: Distinct word forms whose ids a worker keeps (about 200 bytes each).
 CACHE = 1_000_000
@@ -81,12 +81,28 @@ def _forms(word: str) -> tuple[str, str]:
     return word, ""
 
 
+#: The normalizer and the pattern of pre-tokens that ``_forms`` is right for; others take whole texts.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def divisible(tokenizer) -> bool:
+    """Whether a text's ids are those of its words' forms: by this normalizer and pattern, white space dropped."""
+    normalizer, cutter = settings(tokenizer)
+    split = (cutter or {}).get("pretokenizers", [{}])[0]
+    cuts = split.get("type") == "Split" and split["pattern"] == {"Regex": PATTERN} and split["behavior"] == "Removed" and split["invert"]
+    return bool((normalizer or {}).get("normalizers") == NORMALIZER and cuts and plain_specials(tokenizer))
+
+
 def encode_batch(texts: pa.Array, tokenizer, cache: dict[str, bytes], dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a string column and each row's range in them, for a tokenizer that drops white space.
 
     Its pre-tokens never hold white space and its normaliser works on either side of it alone, so a
     text's ids are those of its words in turn; each distinct form is encoded by the library once.
     """
+    if not divisible(tokenizer):
+        own = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, dtype=dtype) for x in pc.fill_null(texts, "").to_pylist()]
+        return np.concatenate([np.zeros(0, dtype), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
     words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     bounds = np.asarray(words.offsets).astype(np.int64)
     flat = words.flatten()

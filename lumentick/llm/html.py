@@ -54,6 +54,10 @@ IMPLIED = {
     "optgroup": (frozenset(["option"]), frozenset(["select"])),
 }
 _WALL = frozenset(["td", "th", "caption", "table", "html", "template"])
+_LISTS = frozenset(["ul", "ol", "menu", "dir"])
+#: Layout ends here, text does not: deeper lists and quotations are not indented further, and the cells
+#: of deeper tables are lines.
+MOST_INDENT, MOST_TABLES = 80, 16
 _raw_end = {k: re.compile(rf"</{k}(?=[\s/>])", re.I) for k in RAW}
 
 
@@ -81,6 +85,9 @@ class Page:
         self.due = 0
         self.indent = 0
 
+    def margin(self) -> str:
+        return " " * min(self.indent, MOST_INDENT)
+
     def text(self, s: str) -> None:
         parts = _SPACE.sub(" ", s)
         if not parts:
@@ -94,7 +101,7 @@ class Page:
             if self.space or parts[0] == " ":
                 self.line.append(" ")
         else:
-            self.line.append(" " * self.indent + self.mark)
+            self.line.append(self.margin() + self.mark)
             self.mark = ""
         self.space = parts[-1] == " "
         self.line.append(parts.strip(" "))
@@ -107,7 +114,7 @@ class Page:
                 if self.due:
                     self.settle()
                 if not self.line:
-                    self.line.append(" " * self.indent + self.mark)
+                    self.line.append(self.margin() + self.mark)
                     self.mark = ""
                 self.line.append(x)
         self.space = False
@@ -185,6 +192,11 @@ class Renderer:
     def __init__(self) -> None:
         self.page = Page()
         self.stack: list[Element] = []
+        #: Where elements of each name are open, outermost first.
+        self.places: dict[str, list[int]] = {}
+        #: Open tables, None for those too deep for a layout; open drop-down lists.
+        self.tables: list[Table | None] = []
+        self.choices: list[Element] = []
         self.unseen = 0
         self.pre = 0
 
@@ -227,7 +239,7 @@ class Renderer:
             self.pop()
         if self.unseen or self.stack and self.stack[-1].name in ("select", "optgroup"):
             return
-        if next((x.name for x in reversed(self.stack) if x.name in ("svg", "text", "foreignobject")), "") == "svg":
+        if self.place("svg") > max(self.place("text"), self.place("foreignobject")):
             return
         # Text between table parts, outside cells, is only shown if it is not white space.
         if self.stack and self.stack[-1].name in ("table", "tr", "tbody", "thead", "tfoot") and not s.strip():
@@ -263,9 +275,10 @@ class Renderer:
         a = attributes_of(attributes) if attributes else {}
         unseen = name in UNSEEN or concealed(a) or name in SVG_UNSEEN and self.inside("svg") or name in ("annotation", "annotation-xml") and self.inside("math")
         # A drop-down list shows its selected option even if that is hidden in the list.
-        listed = name in ("option", "optgroup") and any(x.options is not None for x in self.stack)
+        listed = name in ("option", "optgroup") and bool(self.choices)
         e = Element(name, unseen and not listed)
         e.attributes = a
+        self.places.setdefault(name, []).append(len(self.stack))
         self.stack.append(e)
         if e.hidden:
             self.unseen += 1
@@ -278,6 +291,7 @@ class Renderer:
             return
         if name == "select" and "multiple" not in a and not ((size := _NUMBER.match(a.get("size", ""))) and int(size[1]) > 1):
             e.options = []
+            self.choices.append(e)
             return
         if name == "optgroup" and a.get("label"):
             page.breaks(1)
@@ -298,18 +312,22 @@ class Renderer:
         if name == "tr" and (table := self.table()):
             table.rows.append([])
             return
+        if name in ("td", "th", "tr", "caption") and self.tables:
+            page.breaks(1)
         if name in BLOCK:
-            nested = name in ("ul", "ol", "menu", "dir", "dl") and any(x.name == "li" for x in self.stack[:-1])
+            nested = (name in _LISTS or name == "dl") and self.inside("li")
             page.breaks(2 if name in SPACED and not nested else 1)
         if name == "table":
-            e.table = Table()
+            e.table = Table() if len(self.tables) < MOST_TABLES else None
+            self.tables.append(e.table)
         elif name == "pre":
             self.pre += 1
         elif name == "ol":
             start = _NUMBER.match(a.get("start", ""))
             e.number = int(start[1]) if start else 1
         elif name == "li":
-            owner = next((x for x in reversed(self.stack[:-1]) if x.name in ("ul", "ol", "menu", "dir")), None)
+            k = max(map(self.place, _LISTS))
+            owner = self.stack[k] if k >= 0 else None
             if owner is not None and owner.name == "ol" and owner.number is not None:
                 page.mark = f"{owner.number}. "
                 owner.number += 1
@@ -317,27 +335,29 @@ class Renderer:
                 page.mark = "- "
             e.mark = len(page.mark)
             page.settle()
-            page.pending = None  # type: ignore[attr-defined]
         elif name in ("blockquote", "dd"):
             page.indent += 2
-        if name in ("ul", "ol", "menu", "dir") and any(x.name == "li" for x in self.stack[:-1]):
+        if name in _LISTS and self.inside("li"):
             page.indent += 2
 
+    def place(self, name: str) -> int:
+        """Where the innermost open element of this name is; -1 for none."""
+        at = self.places.get(name)
+        return at[-1] if at else -1
+
     def inside(self, name: str) -> bool:
-        return any(x.name == name for x in self.stack)
+        return bool(self.places.get(name))
 
     def table(self) -> Table | None:
-        return next((x.table for x in reversed(self.stack) if x.table is not None), None)
+        return self.tables[-1] if self.tables else None
 
     def close(self, kinds: frozenset[str], walls: frozenset[str]) -> None:
         """Pop up to the innermost open element of ``kinds``, unless one of ``walls`` stands before it."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].name in kinds:
-                while len(self.stack) > k:
-                    self.pop()
-                return
-            if self.stack[k].name in walls:
-                return
+        k = max(map(self.place, kinds), default=-1)
+        if k < 0 or k < max(map(self.place, walls), default=-1):
+            return
+        while len(self.stack) > k:
+            self.pop()
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -352,6 +372,7 @@ class Renderer:
 
     def pop(self) -> None:
         e = self.stack.pop()
+        self.places[e.name].pop()
         if e.hidden:
             self.unseen -= 1
             return
@@ -359,20 +380,22 @@ class Renderer:
             return
         page, name = self.page, e.name
         if e.options is not None:
+            self.choices.pop()
             shown = [x for x, selected, _ in e.options if selected][-1:] or [x for x, _, enabled in e.options if enabled][:1]
             for x in shown:
                 page.text(x)
             return
         if name == "option" and e.page is not None:
             text, self.page = e.attributes.get("label") or " ".join(filter(None, page.done())), e.page
-            owner = next(x for x in reversed(self.stack) if x.options is not None)
-            group = next((x.attributes for x in reversed(self.stack) if x.name == "optgroup"), {})
-            owner.options.append((text, "selected" in e.attributes, "disabled" not in e.attributes and "disabled" not in group))
+            group = self.stack[self.place("optgroup")].attributes if self.inside("optgroup") else {}
+            self.choices[-1].options.append((text, "selected" in e.attributes, "disabled" not in e.attributes and "disabled" not in group))
             return
-        if name == "optgroup" and any(x.options is not None for x in self.stack):
+        if name == "optgroup" and self.choices:
             return
         if name == "text" and self.inside("svg"):
             page.breaks(1)
+        if name == "table":
+            self.tables.pop()
         if e.page is not None:
             lines, self.page = page.done(), e.page
             table = self.table()
@@ -390,7 +413,7 @@ class Renderer:
             for x in e.table.render():
                 if page.due:
                     page.settle()
-                page.line = [" " * page.indent + x]
+                page.line = [page.margin() + x]
                 page.flush(True)
             page.breaks(2)
             return
@@ -400,7 +423,7 @@ class Renderer:
             page.indent -= 2
         if name == "li" and page.mark:
             page.mark = ""
-        if name in ("ul", "ol", "menu", "dir") and any(x.name == "li" for x in self.stack):
+        if name in _LISTS and self.inside("li"):
             page.indent -= 2
             page.breaks(1)
         elif name in BLOCK:
@@ -417,7 +440,10 @@ def rendered(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("pag
 
     Defined results: a null or empty page, or one without visible text, gives an empty text; markup
     that is cut off or badly nested is closed as browsers do; plain text is a page of one paragraph;
-    repeated rows give equal rows; an empty table gives an empty result.
+    repeated rows give equal rows; an empty table gives an empty result. Very long pages are rendered
+    whole, in time that grows with their length however deep their elements are; layout (not text) stops
+    at ``MOST_INDENT`` and ``MOST_TABLES``. Columns other than ``keys`` and ``html`` are not read; a key
+    may not be named text or n_chars.
     """
     took = pages.select(*keys, html)
     schema = pages.select(*keys).schema.add("text", "string").add("n_chars", "long")

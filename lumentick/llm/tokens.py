@@ -10,12 +10,15 @@ overlap is widened (doubled) and the right chunk encoded again, at last from the
 
 Ordinary texts take the same library, one call for each distinct piece of a batch: a pre-token never
 runs from a non-space into a space, so a text without adjacent white space splits exactly before
-each single space. Other texts are encoded whole.
+each single space. Other texts are encoded whole, and so are all texts of a tokenizer with a normalizer,
+another pre-tokenizer or special strings that take in white space (see ``divisible``).
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +52,23 @@ def load(path: str):
     return _tokenizers[path]
 
 
+def settings(tokenizer) -> tuple[dict | None, dict | None]:
+    """A tokenizer's normalizer and pre-tokenizer, as its file states them."""
+    return tuple(x and json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+
+
+def plain_specials(tokenizer) -> bool:
+    """Whether every special string is matched as it is: without white space in it or taken from around it."""
+    return not any(x.lstrip or x.rstrip or x.single_word or x.normalized or re.search(r"\s", x.content) for x in tokenizer.get_added_tokens_decoder().values())
+
+
+def divisible(tokenizer) -> bool:
+    """Whether texts may be cut as this module does: byte-level pre-tokens by the usual pattern, nothing normalised."""
+    normalizer, cutter = settings(tokenizer)
+    usual = cutter is not None and cutter["type"] == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
+    return normalizer is None and usual and plain_specials(tokenizer)
+
+
 def _begins(e) -> tuple[list[int], list[int]]:
     """Positions at which pre-tokens begin, and the number of tokens before each."""
     words, offsets = e.word_ids, e.offsets
@@ -75,16 +95,21 @@ def spliced(text: str, tokenizer, chunk: int, overlap: int) -> list[int]:
     skip = 0  # tokens of the current chunk that are already out, or that came before its first stable boundary
     floor = 0  # the position from which this chunk's tokens count
     while hi < len(text):
-        next_hi = min(hi + chunk, len(text))
+        # A chunk that did not splice is followed by one twice as long, so re-encoding adds up to a constant factor.
+        next_hi = min(hi + max(chunk, hi - floor if lo == floor else 0), len(text))
+        stable = [(p, b) for p, b in zip(at, before) if floor < p < hi - GUARD]
         wide = overlap
         while True:
-            begin = max(hi - wide, floor)
+            begin = max(hi - wide, floor) if stable else floor
+            if stable and begin > floor and stable[-1][0] < begin:
+                wide *= 2
+                continue
             new = encode(begin, next_hi)
             right = dict(zip(new[2], new[3]))
-            # The first position of the overlap proves nothing about the right chunk only if it is not a boundary in the left one.
-            common = [(p, b) for p, b in zip(at, before) if begin <= p < hi - GUARD and p >= floor and p in right]
+            # Where the right chunk begins proves nothing unless the left one has a boundary there too.
+            common = next(((p, b) for p, b in reversed(stable) if p in right), None)
             if common:
-                p, b = common[-1]
+                p, b = common
                 out += ids[skip:b]
                 (lo, ids, at, before), skip, floor, hi = new, right[p], p, next_hi
                 break
@@ -103,6 +128,8 @@ def count_batch(texts: pa.Array, tokenizer, cache: dict[str, int], huge: int, ch
     n = np.zeros(len(texts), dtype=np.int64)
     if not len(texts):
         return n
+    if not divisible(tokenizer):
+        return np.array([len(tokenizer.encode(x, add_special_tokens=False)) for x in texts.to_pylist()], dtype=np.int64)
     chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
     whole = pc.match_substring_regex(texts, _TWO_SPACES).to_numpy(zero_copy_only=False) & (chars < huge)
     for i in np.flatnonzero(chars >= huge):
@@ -149,7 +176,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: s
     """``keys``, n_bytes, n_tokens and over_limit of each row's whole ``text``.
 
     Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each on
-    its own; an empty table gives an empty result; columns other than ``keys`` and ``text`` are not read.
+    its own; an empty table gives an empty result; very long texts are encoded in chunks that grow where no
+    boundary is found, up to the whole text; columns other than ``keys`` and ``text`` are not read.
     """
     took = docs.select(*[F.col(k) for k in keys], F.col(text).alias("__text"))
     schema = took.drop("__text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")

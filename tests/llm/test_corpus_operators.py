@@ -168,6 +168,18 @@ def test_html_layout():
     assert extract('<p title="a>b">q</p>') == "q"
 
 
+@pytest.mark.parametrize("unit", ["<div><p>x", "<ul><li>x", "<table><tr><td>x", "<blockquote>x", "<b>x", "<dl><dd>x<ol><li>x"])
+def test_deep_pages_keep_their_text_and_take_linear_time(unit):
+    from time import perf_counter
+
+    from lumentick.llm.html import extract
+
+    page = unit * (300_000 // len(unit))
+    begun = perf_counter()
+    assert extract(page).count("x") == page.count("x")
+    assert perf_counter() - begun < 20
+
+
 def test_rendered_rows(spark):
     rows = [(1, "u", PAGE, 1), (2, None, None, 2), (None, "u", "", 3), (1, "u", PAGE, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
@@ -191,6 +203,10 @@ def test_archives(spark):
         want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", max(same) if revisit else None))
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
     assert warc.archived(df.where("page_id = -1")).collect() == []
+    more = df.selectExpr("*", "7 digest", "8 part", "9 bytes")
+    several = warc.write(more).union(warc.write(more.where("page_id < 5")))
+    assert warc.read(several).rdd.getNumPartitions() == several.count() > 1
+    assert warc.read(several).count() == len(pages) + 5
 
 
 def test_travel_filter_lets_every_possible_size_pass(spark):

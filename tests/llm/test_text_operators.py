@@ -38,6 +38,37 @@ def test_spliced_chunks_equal_the_whole(seed):
         assert tokens.spliced(x, t, rng.randrange(80, 400), rng.randrange(65, 120)) == t.encode(x, add_special_tokens=False).ids
 
 
+def test_texts_without_boundaries_take_few_encodings():
+    t = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    passed = []
+
+    class Counting:
+        def encode(self, x, **options):
+            passed.append(len(x))
+            return t.encode(x, **options)
+
+    for x in ("x" * 200_000, "x" * 60_000 + " word" * 9000, "word " * 9000 + "-" * 90_000 + " end"):
+        passed.clear()
+        assert tokens.spliced(x, Counting(), 4096, 512) == t.encode(x, add_special_tokens=False).ids
+        assert sum(passed) < 5 * len(x)
+
+
+def test_other_tokenizers_take_whole_texts():
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    texts = ["Two words, and  more", "it's", "", None, "a " * 3000]
+    for name, ours in (("byte_bpe_50k.json", tokens), ("word_bpe_49k.json", binfmt)):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        assert ours.divisible(t)
+        t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.ByteLevel(add_prefix_space=True)])
+        t.normalizer = normalizers.Replace("words", "w o r d s")
+        assert not ours.divisible(t)
+        want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert tokens.count_batch(pa.array(texts), t, {}, 500, 200, 100).tolist() == [len(x) for x in want]
+        ids, bounds = binfmt.encode_batch(pa.array(texts), t, {}, np.dtype("<u2"))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+
+
 def test_token_records_round_trip(docs, rows, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokens.load(path)
