@@ -114,6 +114,34 @@ def test_base_rules(docs, rows, none):
     assert rules.rules(none).collect() == []
 
 
+def test_rules_of_empty_texts_only(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "", "en"), (3, " \n", "de")], "doc_id long, text string, lang string")
+    assert sorted((r["doc_id"], r["n_words"], r["base_failed"], r["kept"]) for r in rules.rules(df).collect()) == [(i, 0, True, False) for i in (1, 2, 3)]
+
+
+def test_every_language_has_its_model(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)] for k in range(50)}
+    data = [(i, " ".join(rng.choice(words[k]) for _ in range(90)), k) for i, k in enumerate(list(words) * 3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(2)
+    folder = rules.train(df)
+    first, last = (rules.opened(folder, f"=l{k}") for k in (0, 49))
+    assert first is not None and last is not None and not np.array_equal(first, last)
+    assert rules.opened(folder, "=l50") is None
+    # The measure of each text from its own model and that of all languages, text by text.
+    every = rules.opened(folder, rules.ALL)
+    got = {r["doc_id"]: r["log_perplexity"] for r in rules.measured(df, folder).collect()}
+    for i, text, k in data[::7]:
+        w = rules.Words(pa.array([text]))
+        code, rows = rules.grams(w)
+        own, at = rules.opened(folder, f"={k}"), rules.segments(w, rows)[0]
+        total = 0.0
+        for seg in range(at[-1] + 1):
+            a, b = (float(t[code[at == seg]].astype(float).sum()) for t in (own, every))
+            total += np.logaddexp(a, b) - np.log(2)
+        assert np.isclose(got[i], -total / len(text), rtol=1e-5)
+
+
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(1)
     code = np.unique(rng.integers(0, rules.N**3, 3000))
