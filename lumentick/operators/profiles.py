@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,12 +176,15 @@ def exchange_product(rows: DataFrame, description: Column, multiplier: Column, f
     })
 
 
-def counted_changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """How many rows a statement changed in each field, and in all of them together (field ``*``)."""
-    both = before.select(key, *[F.col(f).alias(f"__{f}") for f in fields]).join(after.select(key, *fields), key)
-    differs = {f: ~F.col(f"__{f}").eqNullSafe(F.col(f)) for f in fields}
+def counted_changes(rows: DataFrame, statement: Callable[[DataFrame], DataFrame], fields: list[str]) -> DataFrame:
+    """How many rows a statement changed in each field, and in all of them together (field ``*``).
+
+    A row takes its former values along, so rows of one symbol stay apart, and the symbol may change too.
+    """
+    t = statement(rows.withColumn("__before", F.struct(*fields)))
+    differs = {f: ~F.col("__before")[f].eqNullSafe(F.col(f)) for f in fields}
     any_ = F.lit(False)
     for x in differs.values():
         any_ = any_ | x
-    out = both.agg(F.array(*[F.struct(F.lit(f).alias("field"), F.count_if(x).alias("n")) for f, x in (differs | {"*": any_}).items()]).alias("each"))
+    out = t.agg(F.array(*[F.struct(F.lit(f).alias("field"), F.count_if(x).alias("n")) for f, x in (differs | {"*": any_}).items()]).alias("each"))
     return out.select(F.inline("each"))

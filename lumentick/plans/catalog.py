@@ -645,8 +645,7 @@ def profiles_exchange_product(spark, d):
 
 @query(f"""with {INSTRUMENTS} select 'underlying' field, count(*) filter (where underlying = 'Brand#11') n from inst union all select 'spc', 0 union all select '*', count(*) filter (where underlying = 'Brand#11') from inst""")
 def profiles_counted_changes(spark, d):
-    i = instruments(spark, d)
-    return profiles.counted_changes(i, profiles.renamed(i, "Brand#11", "NEW"), "symbol", ["underlying", "spc"])
+    return profiles.counted_changes(instruments(spark, d), lambda t: profiles.renamed(t, "Brand#11", "NEW"), ["underlying", "spc"])
 
 
 # Analysis.

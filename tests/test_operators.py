@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumentick.functions import calendar, candles, codes, fields, filters, lists, prices, symbols, times
-from lumentick.operators import analysis, bars, book, contracts, ordering, transactions
+from lumentick.operators import analysis, bars, book, contracts, ordering, profiles, transactions
 from lumentick.plans import feed
 from lumentick.sources import tapes
 
@@ -204,3 +204,12 @@ def test_price_bars_hold_no_symbol_as_a_whole(spark):
     df = spark.createDataFrame([("A", i % 7, i, float(i * i % 31)) for i in range(200)], "symbol string, ts int, seq long, price double")
     plan = bars.price_bars(df, "renko", 4.0)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_changes_are_counted_by_row(spark):
+    """Rows of one symbol are not paired with each other, and those whose symbol changes count."""
+    rows = spark.createDataFrame([("S", "A", 1.0, ""), ("S", "A", 2.0, ""), ("S", "B", 2.0, "A 5"), (None, "A", None, "")], "symbol string, underlying string, spc double, additional_underlyings string")
+    got = profiles.counted_changes(rows, lambda t: profiles.renamed(t, "A", "N"), ["underlying", "spc", "additional_underlyings"]).collect()
+    assert {r["field"]: r["n"] for r in got} == {"underlying": 3, "spc": 0, "additional_underlyings": 1, "*": 4}
+    got = profiles.counted_changes(rows, lambda t: t.withColumn("symbol", F.concat("symbol", F.lit("x"))), ["symbol", "spc"]).collect()
+    assert {r["field"]: r["n"] for r in got} == {"symbol": 3, "spc": 0, "*": 3}
