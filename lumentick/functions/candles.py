@@ -6,12 +6,10 @@ without price levels. Values that name nothing give null parts, and stay as they
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .symbols import attribute, base_symbol, exchange_code, pairs, with_pairs
+from .symbols import base_symbol, bound, exchange_code, listed, pairs, value_of, with_pairs
 
 #: Period types in their order, with their short names and milliseconds (0: no time; months and years roundly).
 TYPES = {
@@ -23,22 +21,17 @@ PRICES, ALIGNMENTS = ("last", "bid", "ask", "mark", "s"), ("m", "s")
 NUMBER = r"^[0-9.eE+-]*"
 
 
-def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a column that it names several times, computed once a row."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def period_type(c: Column) -> Column:
     """The short name of a type given by its short name, by the beginning of its name, or by its name and an s; null for others."""
 
-    def named(x: Column) -> Column:
-        out, upper = F.lit(None).cast("string"), F.upper(x)
+    def named(both: Column) -> Column:
+        out, x, upper = F.lit(None).cast("string"), both["x"], both["upper"]
         for name, (short, _) in reversed(TYPES.items()):
             begins = (F.length(x) > 0) & F.lit(name).startswith(upper)
             out = F.when(begins | (x.endswith("s") & (upper == name + "S")), short).otherwise(out)
         return F.when(x.isin(*[short for short, _ in TYPES.values()]), x).otherwise(out)
 
-    return _bound(c, named)
+    return bound(bound(c, lambda x: F.struct(x.alias("x"), F.upper(x).alias("upper"))), named)
 
 
 def period_value(c: Column) -> Column:
@@ -58,7 +51,7 @@ def period(c: Column) -> Column:
     def spelt(p: Column) -> Column:
         return F.when(p["value"] == 1, p["kind"]).otherwise(F.concat(_plain(p["value"]), p["kind"]))
 
-    return _bound(F.struct(period_value(c).alias("value"), period_type(F.regexp_replace(c, NUMBER, "")).alias("kind")), spelt)
+    return bound(bound(c, lambda x: F.struct(period_value(x).alias("value"), period_type(F.regexp_replace(x, NUMBER, "")).alias("kind"))), spelt)
 
 
 def period_millis(c: Column) -> Column:
@@ -70,10 +63,14 @@ def period_millis(c: Column) -> Column:
 
 def _beginning(c: Column, names: tuple[str, ...]) -> Column:
     """The name that ``c`` is, or the first that it begins."""
-    out = F.lit(None).cast("string")
-    for name in reversed(names):
-        out = F.when((F.length(c) > 0) & F.lit(name).startswith(F.lower(c)), name).otherwise(out)
-    return F.when(c.isin(*names), c).otherwise(out)
+
+    def named(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name in reversed(names):
+            out = F.when((F.length(x) > 0) & F.lit(name).startswith(F.lower(x)), name).otherwise(out)
+        return F.when(x.isin(*names), x).otherwise(out)
+
+    return bound(c, named)
 
 
 def _level(c: Column) -> Column:
@@ -90,16 +87,17 @@ def normal(c: Column) -> Column:
         found = F.when(key == "price", _beginning(value, PRICES)).when(key == "tho", F.when(small == "true", "true")).when(key == "", period(value)).when(key == "a", F.when(small.isin(*ALIGNMENTS), small)).when(key == "pl", _level(value))
         return F.struct(key.alias("key"), F.coalesce(found, value).alias("value"))
 
-    def written(pairs: Column) -> Column:
-        return with_pairs(c, F.filter(F.transform(pairs, shortest), lambda e: (e["key"] != "dt") | (e["value"] != "")))
-
-    return _bound(pairs(c), written)
+    return with_pairs(c, F.filter(F.transform(pairs(c), shortest), lambda e: (e["key"] != "dt") | (e["value"] != "")))
 
 
 def parts(c: Column) -> Column:
     """base, exchange, period, price, tho, alignment, level (null: none) and data_type of a candle symbol."""
-    step, price, align = (F.coalesce(attribute(c, k), F.lit(v)) for k, v in (("", "t"), ("price", "last"), ("a", "m")))
-    return F.struct(
-        base_symbol(c).alias("base"), exchange_code(c).alias("exchange"), period(step).alias("period"), _beginning(price, PRICES).alias("price"), (F.lower(F.coalesce(attribute(c, "tho"), F.lit(""))) == "true").alias("tho"),
-        F.when(F.lower(align).isin(*ALIGNMENTS), F.lower(align)).alias("alignment"), attribute(c, "pl").try_cast("double").alias("level"), F.coalesce(attribute(c, "dt"), F.lit("")).alias("data_type"),
-    )
+
+    def found(all_: Column) -> Column:
+        step, price, align = (F.coalesce(value_of(all_, k), F.lit(v)) for k, v in (("", "t"), ("price", "last"), ("a", "m")))
+        return F.struct(
+            base_symbol(c).alias("base"), exchange_code(c).alias("exchange"), period(step).alias("period"), _beginning(price, PRICES).alias("price"), (F.lower(F.coalesce(value_of(all_, "tho"), F.lit(""))) == "true").alias("tho"),
+            bound(F.lower(align), lambda x: F.when(x.isin(*ALIGNMENTS), x)).alias("alignment"), value_of(all_, "pl").try_cast("double").alias("level"), F.coalesce(value_of(all_, "dt"), F.lit("")).alias("data_type"),
+        )
+
+    return bound(listed(c), found)

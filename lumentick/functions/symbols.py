@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that it names several times, computed once a row."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def base_symbol(c: Column) -> Column:
     """Without exchange code and attributes."""
     return F.regexp_replace(F.regexp_replace(c, r"\{[^}]*\}$", ""), r"&[A-Z]$", "")
@@ -24,12 +30,21 @@ def with_exchange(c: Column, code: str) -> Column:
     return F.concat(base_symbol(c), F.lit(f"&{code}" if code else ""), attributes)
 
 
-def pairs(c: Column) -> Column:
-    """The attributes as an array of (key, value), the first of each key; the one without a name has an empty key."""
+def listed(c: Column) -> Column:
+    """The attributes as an array of (key, value), as written; the one without a name has an empty key."""
     inner = F.regexp_extract(c, r"\{([^}]*)\}$", 1)
-    split = F.transform(F.filter(F.split(inner, ","), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_replace(x, "^[^=]*=?", "").alias("value")))
-    keys = F.transform(split, lambda x: x["key"])
-    return F.filter(split, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    return F.transform(F.filter(F.split(inner, ","), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_replace(x, "^[^=]*=?", "").alias("value")))
+
+
+def pairs(c: Column) -> Column:
+    """The same, the first of each key."""
+    first = lambda all_, keys: F.filter(all_, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    return bound(listed(c), lambda all_: bound(F.transform(all_, lambda x: x["key"]), lambda keys: first(all_, keys)))
+
+
+def value_of(found: Column, key: str) -> Column:
+    """The first value of a key in an array of (key, value); null without it."""
+    return F.get(F.filter(found, lambda x: x["key"] == key), F.lit(0))["value"]
 
 
 def attributes(c: Column) -> Column:
@@ -39,7 +54,7 @@ def attributes(c: Column) -> Column:
 
 def attribute(c: Column, key: str) -> Column:
     """An attribute's value; null without it."""
-    return F.get(F.filter(pairs(c), lambda x: x["key"] == key), F.lit(0))["value"]
+    return value_of(listed(c), key)
 
 
 def with_attribute(c: Column, key: str, value: str | Column | None) -> Column:
@@ -54,7 +69,7 @@ def with_pairs(c: Column, found: Column) -> Column:
     """With other attributes, an array of (key, value), in the order of their keys."""
     text = F.array_join(F.transform(F.array_sort(found), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     head = F.regexp_replace(c, r"\{[^}]*\}$", "")
-    return F.when(text == "", head).otherwise(F.concat(head, F.lit("{"), text, F.lit("}")))
+    return bound(text, lambda t: F.when(t == "", head).otherwise(F.concat(head, F.lit("{"), t, F.lit("}"))))
 
 
 def spread_symbol(legs: Column) -> Column:

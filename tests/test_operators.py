@@ -213,3 +213,13 @@ def test_changes_are_counted_by_row(spark):
     assert {r["field"]: r["n"] for r in got} == {"underlying": 3, "spc": 0, "additional_underlyings": 1, "*": 4}
     got = profiles.counted_changes(rows, lambda t: t.withColumn("symbol", F.concat("symbol", F.lit("x"))), ["symbol", "spc"]).collect()
     assert {r["field"]: r["n"] for r in got} == {"symbol": 3, "spc": 0, "*": 3}
+
+
+def test_candle_symbols_take_their_attributes_apart_once(spark):
+    """Once for the normal form and once for all parts, however many there are."""
+    t = spark.createDataFrame([("IBM&Q{a=S,price=b,=15min,a=m,dt=,pl}",), ("{}",), (None,)], "s string")
+    t = t.select(candles.normal(F.col("s")).alias("n"), candles.parts(F.col("s")).alias("p"))
+    assert [r["n"] for r in t.collect()] == ["IBM&Q{=15m,a=s,pl=,price=bid}", "", None]
+    p = t.first()["p"]
+    assert (p["period"], p["price"], p["alignment"], p["level"], p["data_type"]) == ("15m", "bid", "s", None, "")
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
