@@ -12,8 +12,9 @@ of its words are new (Witten and Bell), as they are one event in the base score.
 the vocabulary is not, and is never in one place: each group of texts sends its distinct words' hashes
 to hash ranges, where they are counted over the corpus, and gets back the counts that differ from its own.
 
-Training: each task passes over its training texts from the common parameters, in small steps; the
-changes are averaged, each row by how often a task met it. Nothing is left out.
+Training: each task passes once over its training texts from the common parameters, in steps that begin
+small and grow with what it has read; the changes are averaged, each row by how often a task met it.
+Nothing is left out, and nothing depends on the size of the corpus.
 """
 
 from __future__ import annotations
@@ -44,9 +45,11 @@ RANGE = 200_000
 FAN_IN = 64
 GROUP_BYTES = 3 << 20
 #: Tokens foreseen at once, and scores held at once.
-CHUNK, ROOM = 16_384, 1 << 16
-#: Noise in times of the data; training tokens that small corpora are read again to reach.
-NOISE, ENOUGH = 32.0, 20_000_000
+CHUNK, ROOM = 65_536, 1 << 16
+#: Tokens of a training step: an eighth of those that its task has read before, within these bounds.
+STEP = 256, 16_384
+#: Noise in times of the data.
+NOISE = 32.0
 
 GROUPS = "gid long, doc_id array<long>, held array<boolean>, size array<int>, words binary, hashes binary, counts binary, tails binary, n_hashes long, n_train long, n_tokens long"
 ANSWERS = "gid long, at binary, counts binary, h binary, n binary, tails binary"
@@ -333,7 +336,7 @@ class LogBilinear:
     def by_class(self, c: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
         """Each class that outputs ``c`` are of: its number, its range, and where they are."""
         k = self.of[c]
-        order = np.argsort(k, kind="stable")
+        order = _order(k)
         cut = np.concatenate([[0], np.cumsum(np.bincount(k, minlength=len(self.bounds) - 1))])
         for x in np.flatnonzero(np.diff(cut)):
             yield int(x), int(self.bounds[x]), int(self.bounds[x + 1]), order[cut[x] : cut[x + 1]]
@@ -351,24 +354,25 @@ class LogBilinear:
             out[part] = found / np.log(10)
         return out
 
+    @np.errstate(over="ignore")
     def step(self, one: np.ndarray, two: np.ndarray, c: np.ndarray, scale: list[np.ndarray], rate: float) -> None:
         """An Adagrad step on the tokens' noise-contrastive objective."""
-        order = np.argsort(c, kind="stable")
+        order = _order(c)
         one, two, c = one[order], two[order], c[order]
         h = self.context(one, two)
         # A token's own update must not meet the others' gradients: all are taken before any is applied.
         k, room = self.of[c], self.room()
         g, back = _contrast(h, self.parts[2], self.noise[0], k, room)
-        todo = [(2, slice(None), g)]
-        cut = np.searchsorted(k, np.arange(len(self.bounds)))
-        for x in np.flatnonzero(np.diff(cut)):
-            lo, hi, at = self.bounds[x], self.bounds[x + 1], slice(cut[x], cut[x + 1])
-            if hi - lo > 1:
-                g, more = _contrast(h[at], self.parts[3][lo:hi], self.noise[1][lo:hi], c[at] - lo, room)
-                back[at] += more
-                todo.append((3, slice(lo, hi), g))
+        up, more = np.zeros_like(self.parts[3]), np.zeros_like(back)
+        against, less, inner = _against(self.parts[3], self.noise[1])
+        own, cut = c - self.bounds[k], np.searchsorted(k, np.arange(len(self.bounds))).tolist()
+        for lo, hi, a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), cut[:-1], cut[1:]):
+            if b > a and hi - lo > 1:
+                _pulled(h[a:b], against[lo:hi], less[lo:hi], inner[lo:hi], own[a:b], room, up[lo:hi], more[a:b])
+        back += more
+        todo = [(2, slice(None), g), (3, slice(None), up)]
         for k, x in ((0, one), (1, two)):
-            order = np.argsort(x, kind="stable")
+            order = _order(x)
             first = np.flatnonzero(np.diff(x[order], prepend=-1))
             todo.append((k, x[order][first], np.add.reduceat(back[order], first, axis=0)))
         for k, rows, g in todo:
@@ -385,78 +389,96 @@ def _pieces(h: np.ndarray, vectors: np.ndarray, room: np.ndarray) -> Iterator[tu
         yield slice(a, a + n), np.matmul(part, vectors.T, out=room[: len(part) * len(vectors)].reshape(len(part), len(vectors)))
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers; those below 2**16 are sorted by digits."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
+
+
 def _log_share(h: np.ndarray, vectors: np.ndarray, own: np.ndarray, room: np.ndarray) -> np.ndarray:
     """The log of the softmax, at ``own``."""
-    out = np.empty(len(h), np.float32)
+    out, ones = np.empty(len(h), np.float32), np.ones(len(vectors), np.float32)
+    # No product exceeds the lengths of its factors.
+    longest = float(np.sqrt(np.einsum("ij,ij->i", h, h).max(initial=0)) * np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0)))
     for part, x in _pieces(h, vectors, room):
-        if max(x.max(), -x.min()) > 80:  # else no sum of powers leaves the range of float32
+        if not longest < 80:  # else no sum of powers leaves the range of float32
             x -= x.max(axis=1)[:, None]
         mine = x[np.arange(len(x)), own[part]]
-        out[part] = mine - np.log(np.exp(x, out=x).sum(axis=1))
+        out[part] = mine - np.log(np.exp(x, out=x) @ ones)
     return out
 
 
-def _contrast(h: np.ndarray, vectors: np.ndarray, noise: np.ndarray, own: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients for ``vectors`` and for the contexts. P(data | w) = sigmoid(score - log noise).
-
-    The noise is taken by its expectation: every output of the class counts as often as it would be drawn.
-    """
-    against, less, inner = -vectors, -noise, np.ascontiguousarray(vectors[:, :DIM])
+def _against(vectors: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_pulled`` takes of outputs: vectors whose products are log noise - score, the noise below zero, vectors without bias."""
+    against = -vectors
     against[:, DIM] += np.log(noise)
-    up, back = np.zeros_like(vectors), np.empty((len(h), DIM), np.float32)
+    return against, -noise, np.ascontiguousarray(vectors[:, :DIM])
+
+
+def _pulled(h: np.ndarray, against: np.ndarray, less: np.ndarray, inner: np.ndarray, own: np.ndarray, room: np.ndarray, up: np.ndarray, back: np.ndarray) -> None:
+    """Adds the gradients for the outputs to ``up``, writes those for the contexts to ``back``."""
     for part, x in _pieces(h, against, room):
-        with np.errstate(over="ignore"):
-            np.exp(x, out=x)
+        np.exp(x, out=x)
         x += 1
         np.divide(less, x, out=x)
         at, mine = np.arange(len(x)), own[part]
-        x[at, mine] += 1 + x[at, mine] / noise[mine]
+        x[at, mine] += 1 - x[at, mine] / less[mine]
         up += x.T @ h[part]
         np.matmul(x, inner, out=back[part])
+
+
+def _contrast(h: np.ndarray, vectors: np.ndarray, noise: np.ndarray, own: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients for ``vectors`` and for the contexts. P(data | w) = sigmoid(score - log noise).
+
+    The noise is taken by its expectation: every output of the class counts as often as it would be drawn.
+    """
+    up, back = np.zeros_like(vectors), np.empty((len(h), DIM), np.float32)
+    _pulled(h, *_against(vectors, noise), own, room, up, back)
     return up, back
 
 
-def train(groups: DataFrame, v: Vocabulary, tokens: int, rate: float = 0.2) -> LogBilinear:
-    """Passes over all training tokens. Each task begins with the common parameters and gives back its changes.
+def train(groups: DataFrame, v: Vocabulary, rate: float = 0.2) -> LogBilinear:
+    """One pass over all training tokens. Each task begins with the common parameters and gives back its changes.
 
     A row's change is the mean over tasks, weighted by how many of a task's tokens moved it.
     """
     model = LogBilinear(v)
     spark, rows = groups.sparkSession, groups.select("held", "size", "words", "hashes", "tails")
     tasks, block = rows.rdd.getNumPartitions(), 1024
-    batch = int(np.clip(tokens // 400, 256, 8192))
-    for turn in range(min(6, -(-ENOUGH // tokens)) if tokens else 0):
-        spread = spark.sparkContext.broadcast((v, model.parts))
-
-        def run(batches: Iterator[pa.RecordBatch], spread=spread, turn=turn) -> Iterator[pa.RecordBatch]:
-            v, begin = spread.value
-            model = LogBilinear(v)
-            model.parts = [x.copy() for x in begin]
-            scale = [np.ones_like(x) for x in begin]
-            met = [np.zeros(len(x)) for x in begin]
-            for row in _rows(batches):
-                c, one, two, own = _sequence(row, v)
-                learn = ~np.asarray(row["held"], dtype=bool)[own]
-                c, one, two = c[learn], one[learn], two[learn]
-                for a in range(0, len(c), batch):
-                    model.step(one[a : a + batch], two[a : a + batch], c[a : a + batch], scale, rate / (1 + turn))
-                k = np.bincount(model.of[c], minlength=len(begin[2]))
-                for x, n in zip(met, (np.bincount(one, minlength=len(begin[0])), np.bincount(two, minlength=len(begin[1])), len(c), k[model.of])):
-                    x += n
-            task = TaskContext.get().partitionId()
-            for k in range(4):
-                for b in range(0, len(begin[k]), block):
-                    n = met[k][b : b + block]
-                    if n.any():
-                        moved = np.concatenate([n[:, None], n[:, None] * (model.parts[k][b : b + block] - begin[k][b : b + block])], axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array([k << 16 | b // block], pa.int32()), pa.array([task], pa.int64()), pa.array([moved.astype("<f4").tobytes()], pa.binary())], names=["block", "task", "n"])
-
-        for r in _added(rows.mapInArrow(run, "block int, task long, n binary"), tasks, "<f4"):
-            x = model.parts[r["block"] >> 16]
-            b = (r["block"] & 65535) * block
-            moved = np.frombuffer(r["n"], "<f4").reshape(-1, x.shape[1] + 1)
-            x[b : b + block] += moved[:, 1:] / np.maximum(moved[:, :1], 1)
-        spread.unpersist()
+    spread = spark.sparkContext.broadcast((v, model.parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, begin = spread.value
+        model = LogBilinear(v)
+        model.parts = [x.copy() for x in begin]
+        scale = [np.ones_like(x) for x in begin]
+        met, seen = [np.zeros(len(x)) for x in begin], 0
+        for row in _rows(batches):
+            c, one, two, own = _sequence(row, v)
+            learn = ~np.asarray(row["held"], dtype=bool)[own]
+            c, one, two = c[learn], one[learn], two[learn]
+            a = 0
+            while a < len(c):
+                b = a + min(max((seen + a) // 8, STEP[0]), STEP[1])
+                model.step(one[a:b], two[a:b], c[a:b], scale, rate)
+                a = b
+            seen += len(c)
+            k = np.bincount(model.of[c], minlength=len(begin[2]))
+            for x, n in zip(met, (np.bincount(one, minlength=len(begin[0])), np.bincount(two, minlength=len(begin[1])), len(c), k[model.of])):
+                x += n
+        task = TaskContext.get().partitionId()
+        for k in range(4):
+            for b in range(0, len(begin[k]), block):
+                n = met[k][b : b + block]
+                if n.any():
+                    moved = np.concatenate([n[:, None], n[:, None] * (model.parts[k][b : b + block] - begin[k][b : b + block])], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([k << 16 | b // block], pa.int32()), pa.array([task], pa.int64()), pa.array([moved.astype("<f4").tobytes()], pa.binary())], names=["block", "task", "n"])
+
+    for r in _added(rows.mapInArrow(run, "block int, task long, n binary"), tasks, "<f4"):
+        x = model.parts[r["block"] >> 16]
+        b = (r["block"] & 65535) * block
+        moved = np.frombuffer(r["n"], "<f4").reshape(-1, x.shape[1] + 1)
+        x[b : b + block] += moved[:, 1:] / np.maximum(moved[:, :1], 1)
+    spread.unpersist()
     return model
 
 
@@ -495,7 +517,7 @@ def scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     cells = summed(groups.select("held", "size", "words", "hashes", "tails"), v.size * step, met)
     v = v.renumbered(classes(cells.reshape(-1, step), v.weight))
-    model = train(groups, v, n)
+    model = train(groups, v)
     spread = docs.sparkSession.sparkContext.broadcast((v, model.parts))
     floor = float(n + 1 * (types + 1))
 

@@ -250,6 +250,17 @@ def test_training_finds_what_follows():
         assert p.argmax() == want and 10 ** p[want] > 0.5
 
 
+def test_training_does_not_depend_on_the_size(spark):
+    """Twice the same texts, in tasks of their own, move the model as they do once."""
+    words = np.random.default_rng(5).choice([f"w{k}" for k in range(40)], 200_000)
+    once = lm.grouped(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").coalesce(1), 7, -1)
+    _, tails, top = lm.word_statistics(lm.counted(once, 40))
+    v = lm.vocabulary(top, tails, 1)
+    v = v.renumbered(np.arange(v.size) % 5)
+    begin, a, b = lm.LogBilinear(v).parts, lm.train(once, v).parts, lm.train(once.union(once), v).parts
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(a, b)) and not np.allclose(begin[3], a[3], atol=0.01)
+
+
 def test_words_of_sliced_columns():
     from lumentick.llm.common import Words
 
