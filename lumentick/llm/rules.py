@@ -1,7 +1,7 @@
 """Quality rules: base counts, and n-gram perplexity bands from a modified Kneser-Ney model.
 
-The n-grams run over bytes in 64 classes, so a language has at most 64**3 of them whatever the corpus:
-Spark counts them over all texts that can teach (see ``train``) and adds the counts up. Tasks fit a model
+The n-grams run over the bytes as they are, each a symbol of its own, so a language has at most 256**3 of
+them whatever the corpus: Spark counts them over all texts that can teach (see ``train``) and adds the counts up. Tasks fit a model
 for each language and store it (log-probabilities and back-off weights in arrays sorted by the n-gram's
 hash) in a file of the shared folder; a task that measures texts opens the files of the languages it
 meets and keeps a few, so there may be any number of languages. A text is measured by a mixture of its language's model and that of all languages, drawn
@@ -26,49 +26,42 @@ from pyspark.sql import functions as F
 from .common import Words, mix, shared_dir, slices, stored
 
 SYMBOLS = b"#*$%&|<>"
-N = 64
-#: Models that a task keeps open, and languages that it counts before it hands their counts on. Bounds of memory alone.
-OPEN_MODELS, OPEN_COUNTS = 32, 32
+#: Symbols: all bytes. 0xFF, which is in no UTF-8 text, stands for what is before a text.
+N, BEGIN = 256, 255
+#: Models that a task keeps open; languages and n-grams that it counts before it hands their counts on. Bounds of memory alone.
+OPEN_MODELS, OPEN_COUNTS, OPEN_GRAMS = 16, 32, 1 << 22
 #: Words for which the mixture draws its model.
 SEGMENT = 4
 
 
-def _classes() -> np.ndarray:
-    """The class of each byte: letters a-z, capitals, digits, white space, marks, symbols, and parts of longer characters."""
-    c = np.full(256, 40, dtype=np.int64)
-    c[97:123] = np.arange(26)
-    c[65:91] = 26
-    c[48:58] = 27
-    c[32], c[10], c[9], c[11:14] = 28, 29, 30, 30
-    for i, group in enumerate((b".", b",", b"'", b"-", b"!", b"?", b";:", b'"()')):
-        for x in group:
-            c[x] = 31 + i
-    for x in SYMBOLS:
-        c[x] = 39
-    c[ord("|")] = 59
-    c[0xC3], c[0xC0:0xC3], c[0xC4:256] = 41, 42, 42
-    c[0x80:0xC0] = 43 + np.arange(64) % 16
-    return c
-
-
-_CLASS = _classes()
-_BEGIN = 63
-
-
 def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The trigram code that ends at each byte, two begin marks before each text; and each byte's row."""
-    c = _CLASS[w.buf]
+    c = w.buf.astype(np.uint32)
     rows = np.repeat(np.arange(len(w.offsets) - 1), np.diff(w.offsets))
-    one, two = np.full(len(c), _BEGIN), np.full(len(c), _BEGIN)
+    one, two = np.full(len(c), BEGIN, np.uint32), np.full(len(c), BEGIN, np.uint32)
     one[1:] = c[:-1]
     two[2:] = c[:-2]
     first = w.offsets[:-1][np.diff(w.offsets) > 0]
-    one[first] = _BEGIN
-    two[first] = _BEGIN
+    one[first] = BEGIN
+    two[first] = BEGIN
     second = first + 1
     second = second[(second < len(c))]
-    two[second] = _BEGIN
-    return (two * N + one) * N + c, rows
+    two[second] = BEGIN
+    return (two * np.uint32(N) + one) * np.uint32(N) + c, rows
+
+
+class Opened:
+    """log p of trigram codes, as ``opened[codes]``: a row of ``N`` cells for each context of two symbols that is known, before them one for each last symbol alone."""
+
+    def __init__(self, place: np.ndarray, cells: np.ndarray):
+        self.place, self.cells = place, cells.ravel()
+
+    def __getitem__(self, code: np.ndarray) -> np.ndarray:
+        return self.cells[self.place[code // N] * N + code % N]
+
+
+#: All trigrams equally likely.
+EVEN = Opened(np.zeros(N * N, np.int64), np.full((1, N), -np.log(N), np.float32))
 
 
 @dataclass(frozen=True)
@@ -80,20 +73,30 @@ class Ngrams:
     back_keys: tuple[np.ndarray, ...]
     backs: tuple[np.ndarray, ...]
 
+    def opened(self) -> Opened:
+        """The contexts' rows, looked up with back-off."""
+        codes = np.arange(N * N)
+        pair = self._backed(codes, 2, _lookup(self.keys[0], self.logs[0], codes % N, 1)[1])
+        known, weight = _lookup(self.back_keys[1], self.backs[1], codes, 3)
+        contexts = np.flatnonzero(known)
+        place = codes % N
+        place[contexts] = N + np.arange(len(contexts))
+        cells = [pair]
+        for part in np.array_split(contexts, len(contexts) // 1024 + 1):
+            code = (part[:, None] * N + np.arange(N)).ravel()
+            found, value = _lookup(self.keys[2], self.logs[2], code, 3)
+            cells.append(np.where(found, value, np.repeat(weight[part], N) + pair[code % (N * N)]))
+        return Opened(place, np.concatenate(cells).astype(np.float32).reshape(-1, N))
+
+    def _backed(self, gram: np.ndarray, order: int, lower: np.ndarray) -> np.ndarray:
+        """log p of n-grams, given that of their ends."""
+        found, value = _lookup(self.keys[order - 1], self.logs[order - 1], gram, order)
+        seen, back = _lookup(self.back_keys[order - 2], self.backs[order - 2], gram // N, order)
+        return np.where(found, value, np.where(seen, back, 0.0) + lower)
+
     def table(self) -> np.ndarray:
-        """log p of each trigram code, looked up with back-off."""
-        code = np.arange(N**3)
-        out = np.full(N**3, np.nan, dtype=np.float64)
-        weight = np.zeros(N**3)
-        for order in (3, 2, 1):
-            gram = code % N**order
-            found, value = _lookup(self.keys[order - 1], self.logs[order - 1], gram, order)
-            take = np.isnan(out) & found
-            out[take] = (weight + value)[take]
-            if order > 1:
-                seen, back = _lookup(self.back_keys[order - 2], self.backs[order - 2], gram // N, order)
-                weight = weight + np.where(seen, back, 0.0)
-        return np.where(np.isnan(out), weight - np.log(N), out).astype(np.float32)
+        """log p of every trigram code."""
+        return self.opened()[np.arange(N**3)]
 
 
 def _hash(gram: np.ndarray, order: int) -> np.ndarray:
@@ -114,34 +117,33 @@ def kneser_ney(code: np.ndarray, count: np.ndarray) -> Ngrams:
     Lower orders take the number of different symbols before an n-gram; each order discounts counts of
     1, 2 and 3 or more by estimates from its counts of counts.
     """
-    full = {3: np.zeros(N**3)}
-    full[3][code] = count
-    full[2] = (full[3].reshape(N, N * N) > 0).sum(axis=0).astype(float)
-    full[1] = (full[2].reshape(N, N) > 0).sum(axis=0).astype(float)
-    p = np.full(N, 1.0 / N)
+    order = np.argsort(code)
+    known = {3: (code[order].astype(np.int64), count[order].astype(float))}
+    known[2] = tuple(np.unique(known[3][0] % N**2, return_counts=True))
+    # All symbols have a place in the lowest order.
+    known[1] = np.arange(N), np.bincount(known[2][0] % N, minlength=N)
+    below, p = np.zeros(1, np.int64), np.full(1, 1.0 / N)
     keys, logs, back_keys, backs = [], [], [], []
     for order in (1, 2, 3):
-        c = full[order].reshape(-1, N)
-        m = [float((full[order] == k).sum()) for k in (1, 2, 3, 4)]
+        gram, c = known[order]
+        m = [float((c == k).sum()) for k in (1, 2, 3, 4)]
         y = m[0] / (m[0] + 2 * m[1]) if m[0] else 0.5
         d = [min(max(k - (k + 1) * y * m[k] / m[k - 1], 0.1), k * 0.9) if m[k - 1] else 0.5 for k in (1, 2, 3)]
         cut = np.select([c >= 3, c == 2, c == 1], [d[2], d[1], d[0]], 0.0)
-        total = c.sum(axis=1, keepdims=True)
-        left = np.where(total > 0, cut.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-        lower = p if order == 1 else np.tile(p.reshape(-1, N), (N, 1)) if order == 3 else np.tile(p, (N, 1))
-        q = np.where(total > 0, (c - cut) / np.maximum(total, 1), 0.0) + left * lower.reshape(-1, N)
-        gram = np.flatnonzero(full[order] > 0)
+        context, own = np.unique(gram // N, return_inverse=True)
+        total = np.bincount(own, weights=c)
+        left = np.bincount(own, weights=cut) / total
+        q = (c - cut) / total[own] + left[own] * p[np.searchsorted(below, gram % N ** (order - 1))]
         h = _hash(gram, order)
         o = np.argsort(h)
         keys.append(h[o])
-        logs.append(np.log(q.ravel()[gram[o]]).astype(np.float32))
+        logs.append(np.log(q[o]).astype(np.float32))
         if order > 1:
-            context = np.flatnonzero(total[:, 0] > 0)
             h = _hash(context, order)
             o = np.argsort(h)
             back_keys.append(h[o])
-            backs.append(np.log(left[context[o], 0]).astype(np.float32))
-        p = q.ravel()
+            backs.append(np.log(left[o]).astype(np.float32))
+        below, p = gram, q
     return Ngrams(tuple(keys), tuple(logs), tuple(back_keys), tuple(backs))
 
 
@@ -234,13 +236,13 @@ def saved(folder: str, key: str, model: Ngrams) -> None:
         where.delete_file(own)
 
 
-def opened(folder: str, key: str) -> np.ndarray | None:
-    """The log-probabilities of a stored model's trigrams; None where no text of the language taught."""
+def opened(folder: str, key: str) -> Opened | None:
+    """A stored model; None where no text of the language taught."""
     where, name = _file(folder, key)
     if where.get_file_info(name).type == fs.FileType.NotFound:
         return None
     with where.open_input_stream(name) as f, np.load(io.BytesIO(f.read())) as z:
-        return Ngrams(*(tuple(z[f"{x}{i}"] for i in range(n)) for x, n in (("keys", 3), ("logs", 3), ("back_keys", 2), ("backs", 2)))).table()
+        return Ngrams(*(tuple(z[f"{x}{i}"] for i in range(n)) for x, n in (("keys", 3), ("logs", 3), ("back_keys", 2), ("backs", 2)))).opened()
 
 
 def train(docs: DataFrame) -> str:
@@ -250,13 +252,17 @@ def train(docs: DataFrame) -> str:
     that is frequent enough would else teach the model to expect it. All texts are measured.
     """
 
-    def handed(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for k, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "code", "n"])
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return code, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def handed(total: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for k, parts in total.items():
+            code, n = added(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 w = Words(part.column("text"))
@@ -265,10 +271,13 @@ def train(docs: DataFrame) -> str:
                 teaches = ~_failed(words, repeat) & (10 * symbols <= words)
                 lang, keys = _keys(part.column("lang"))
                 for own, of in _by_language(np.where(teaches, lang, -1)[rows]):
-                    if keys[of] not in total and len(total) >= OPEN_COUNTS:
+                    if keys[of] not in total and len(total) >= OPEN_COUNTS or sum(len(x) for parts in total.values() for x, _ in parts) > OPEN_GRAMS:
                         yield from handed(total)
                         total.clear()
-                    total[keys[of]] = total.get(keys[of], 0) + np.bincount(code[own], minlength=N**3)
+                    parts = total.setdefault(keys[of], [])
+                    parts.append(np.unique(code[own], return_counts=True))
+                    if len(parts) > 8:
+                        parts[:] = [added(parts)]
         yield from handed(total)
 
     folder = f"{shared_dir(docs.sparkSession)}/models"
@@ -307,18 +316,16 @@ def measured(docs: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray | None] = {}
+        tables: dict[str, Opened | None] = {}
 
-        def table(key: str) -> np.ndarray | None:
+        def table(key: str) -> Opened | None:
             if key not in tables:
                 if len(tables) >= OPEN_MODELS:
                     tables.pop(next(iter(tables)))
                 tables[key] = opened(folder, key)
             return tables[key]
 
-        every = opened(folder, ALL)
-        if every is None:
-            every = np.full(N**3, -np.log(N), np.float32)
+        every = opened(folder, ALL) or EVEN
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 w = Words(part.column("text"))

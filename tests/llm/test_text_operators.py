@@ -150,6 +150,18 @@ def test_kneser_ney_is_a_distribution():
     assert np.allclose(p, 1, atol=1e-3)
 
 
+def test_ngrams_tell_all_bytes_apart(spark):
+    """Capitals, digits and letters beyond ASCII have n-grams of their own."""
+    codes = [rules.grams(rules.Words(pa.array([x])))[0].tolist() for x in ("A1 \u0434", "B1 \u0434", "A2 \u0434", "A1 \u4e2d", "A1 \u0634")]
+    assert len({tuple(x) for x in codes}) == 5
+    texts = ["The Cat Sat On The Mat And The Hat Of Its Own " * 2 + str(k) for k in range(40)] + ["\u043a\u043e\u0442 \u0438 \u0434\u043e\u043c " * 9 + str(k) for k in range(40)]
+    folder = rules.train(spark.createDataFrame([(i, " ".join(dict.fromkeys(x.split())) + " a b c d e f g h", "x") for i, x in enumerate(texts)], "doc_id long, text string, lang string"))
+    model = rules.opened(folder, "=x")
+    for known, other in ((" The", " Xhe"), ("\u043a\u043e\u0442", "\u6f22\u5b57\u6f22")):
+        a, b = (model[rules.grams(rules.Words(pa.array([x])))[0]].mean() for x in (known, other))
+        assert a > b + 0.5
+
+
 def test_perplexity_bands_reject_noise(spark):
     rng = random.Random(2)
     normal = [(i, " ".join(rng.choice(["the", "river", "runs", "over", "stones", "and", "moss"]) + str(i % 7) * (rng.random() < 0.02) for _ in range(150)), "en") for i in range(150)]
