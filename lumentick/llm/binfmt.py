@@ -27,15 +27,19 @@ from pyspark.sql import functions as F
 from .common import shared_dir, slices, stored
 from .tokens import load, plain_specials, settings
 
-#: Distinct word forms whose ids a worker keeps (about 200 bytes each).
-CACHE = 1_000_000
-_ids: dict[str, dict[str, bytes]] = {}
+#: Forms whose ids a worker keeps from slice to slice, in Arrow arrays (about 40 bytes each).
+CACHE = 800_000
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
+#: How many forms of letters go to the library in one text, and the bytes of the longest such form.
+JOINED, SHORT = 256, 64
+_ids: dict[str, dict[str, pa.Array]] = {}
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 RECORDS = "shard int, start long, doc_id long, n_tokens long, ids_crc32 long"
 
 
-def _known(tokenizer_path: str) -> dict[str, bytes]:
+def _known(tokenizer_path: str) -> dict[str, pa.Array]:
     """The worker's forms; asked for by a function, as tasks get copies of the globals they name themselves."""
     return _ids.setdefault(tokenizer_path, {})
 
@@ -64,21 +68,79 @@ def unframed(read, at: int = 0) -> bytes | None:
     return body[:n]
 
 
-def _forms(word: str) -> tuple[str, str]:
-    """A word as the form that is encoded and a tail of full stops and commas.
+#: By byte: whether it may stand in a tail (ASCII punctuation, but not what begins special strings and contractions).
+_TAIL = np.array([33 <= c < 127 and not chr(c).isalnum() and chr(c) not in "<'" for c in range(256)])
+_LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
+#: The second byte of a Latin-1 letter after 0xC3.
+_LATIN = np.array([128 <= c < 192 and c not in (0x97, 0xB7) for c in range(256)])
+
+
+def _strings(offsets: np.ndarray, data, kind: pa.DataType) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data or pa.py_buffer(b"")])
+
+
+def _offsets(a: pa.Array) -> np.ndarray:
+    return np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
+
+
+def _forms(words: pa.Array) -> pa.Array:
+    """Two strings for each word: the form that is encoded, and a tail of punctuation or nothing.
 
     Between a letter and such a tail the pre-tokenizer always cuts, and it lowers ASCII letters; so
-    a form stands for many words. Words with "<" may hold special strings and are left as they are,
-    as are letters whose lower case ends in a mark.
+    a form stands for many words. Words with "<" may hold special strings and are left as they are.
+    A tail follows an ASCII or Latin-1 letter: of others, some become a letter and a mark, which
+    goes with the tail.
+    """
+    special = pc.match_substring(words, "<")
+    words = pc.if_else(pc.and_not(pc.string_is_ascii(words), special), pc.ascii_lower(words), words).cast(pa.large_string())
+    at, data = _offsets(words), words.buffers()[2]
+    begin, end = at[:-1], at[1:]
+    raw = np.frombuffer(data or b"", np.uint8)[: at[-1]]
+    # For each position, the end of the last byte before it that can't stand in a tail.
+    solid = np.zeros(len(raw) + 1, np.int64)
+    np.maximum.accumulate(np.where(_TAIL[raw], 0, np.arange(1, len(raw) + 1)), out=solid[1:])
+    cut = np.maximum(solid[end], begin)
+    padded = np.concatenate([np.zeros(2, np.uint8), raw])
+    letter = _LETTER[padded[cut + 1]] | (_LATIN[padded[cut + 1]] & (padded[cut] == 0xC3))
+    bounds = np.empty(2 * len(words) + 1, np.int64)
+    bounds[::2] = at
+    bounds[1::2] = np.where((cut > begin) & letter & ~special.to_numpy(zero_copy_only=False), cut, end)
+    return _strings(bounds, data, pa.large_string())
+
+
+def _encoded(forms: pa.Array, tokenizer, ends: np.ndarray, dtype: np.dtype) -> tuple[np.ndarray, pa.Array]:
+    """An order of ``forms``, and in that order the bytes of each one's ids.
+
+    Short forms of letters are encoded many in one text, with spaces between them: each is one
+    pre-token, of which the last id alone is in ``ends``. Other forms, and those of a text with more
+    ends than forms, are texts of their own.
     """
-    if "<" in word:
-        return word, ""
-    if word.isascii():
-        word = word.lower()
-    form = word.rstrip(".,")
-    if form and len(form) < len(word) and form[-1].lower().isalpha():
-        return form, word[len(form) :]
-    return word, ""
+    plain = pc.and_(pc.utf8_is_alpha(forms), pc.less_equal(pc.binary_length(forms), SHORT)).to_numpy(zero_copy_only=False) & ends.any()
+    order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+    texts, joint = forms.take(pa.array(order)).to_pylist(), int(plain.sum())
+    size, data = np.zeros(len(texts), np.int64), []
+    for a in range(0, joint, JOINED):
+        part = texts[a : min(a + JOINED, joint)]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=dtype)
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) == len(part) and stops[-1] == len(ids):
+            size[a : a + len(part)] = np.diff(stops, prepend=0)
+            data.append(ids.tobytes())
+        else:
+            own = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            size[a : a + len(part)] = [len(x) for x in own]
+            data += [np.array(x, dtype=dtype).tobytes() for x in own]
+    for a in range(joint, len(texts), 1024):
+        own = [e.ids for e in tokenizer.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False)]
+        size[a : a + len(own)] = [len(x) for x in own]
+        data += [np.array(x, dtype=dtype).tobytes() for x in own]
+    return order, _strings(np.concatenate([[0], np.cumsum(size)]) * dtype.itemsize, pa.py_buffer(b"".join(data)), pa.large_binary())
+
+
+def _ends(tokenizer) -> np.ndarray:
+    """By id: whether it ends a pre-token, as its string has the model's suffix for that; none if there is no suffix."""
+    n, suffix = tokenizer.get_vocab_size(), getattr(tokenizer.model, "end_of_word_suffix", None)
+    return np.array([bool(suffix) and (tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(n)], dtype=bool)
 
 
 #: The normalizer and the pattern of pre-tokens that ``_forms`` is right for; others take whole texts.
@@ -94,37 +156,39 @@ def divisible(tokenizer) -> bool:
     return bool((normalizer or {}).get("normalizers") == NORMALIZER and cuts and plain_specials(tokenizer))
 
 
-def encode_batch(texts: pa.Array, tokenizer, cache: dict[str, bytes], dtype) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(texts: pa.Array, tokenizer, cache: dict[str, pa.Array], dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a string column and each row's range in them, for a tokenizer that drops white space.
 
     Its pre-tokens never hold white space and its normaliser works on either side of it alone, so a
     text's ids are those of its words in turn; each distinct form is encoded by the library once.
+    ``cache`` keeps the forms known so far and their ids; when they are too many, this call's forms alone.
     """
     if not divisible(tokenizer):
         own = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, dtype=dtype) for x in pc.fill_null(texts, "").to_pylist()]
         return np.concatenate([np.zeros(0, dtype), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+    if not cache:
+        cache |= {"ends": pa.array(_ends(tokenizer)), "forms": pa.array([], pa.large_string()), "ids": pa.array([], pa.large_binary())}
     words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     bounds = np.asarray(words.offsets).astype(np.int64)
-    flat = words.flatten()
     bounds = bounds - bounds[0]
-    coded = pc.dictionary_encode(flat)
-    forms = [_forms(x) for x in coded.dictionary.to_pylist()]
-    index = np.asarray(coded.indices)
-    missing = list({x for pair in forms for x in pair if x not in cache})
-    for a in range(0, len(missing), 4096):
-        part = missing[a : a + 4096]
-        for x, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[x] = np.array(e.ids, dtype=dtype).tobytes()
-    own = [cache[x] + cache[y] if y else cache[x] for x, y in forms]
-    if len(cache) > CACHE:
-        cache.clear()
-    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // dtype.itemsize
-    begin = np.concatenate([[0], np.cumsum(size)])
-    table = np.frombuffer(b"".join(own), dtype=dtype)
-    n = size[index] if len(index) else np.zeros(0, np.int64)
-    run = np.concatenate([[0], np.cumsum(n)])
-    ids = table[np.arange(run[-1]) - np.repeat(run[:-1] - begin[index], n)] if len(index) else table[:0]
-    return ids, run[bounds]
+    coded = words.flatten().dictionary_encode()
+    pieces = _forms(coded.dictionary).dictionary_encode()
+    found = pc.index_in(pieces.dictionary, value_set=cache["forms"])
+    at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    missing = np.flatnonzero(at < 0)
+    if len(missing):
+        order, ids = _encoded(pieces.dictionary.take(pa.array(missing)), tokenizer, cache["ends"].to_numpy(zero_copy_only=False), dtype)
+        at[missing[order]] = len(cache["forms"]) + np.arange(len(missing))
+        cache["forms"] = pa.concat_arrays([cache["forms"], pieces.dictionary.take(pa.array(missing[order]))])
+        cache["ids"] = pa.concat_arrays([cache["ids"], ids])
+    own = cache["ids"].take(pa.array(at))
+    if len(cache["forms"]) > CACHE:
+        cache |= {"forms": pieces.dictionary, "ids": own}
+    parts = own.take(pieces.indices)
+    by_word = _strings(_offsets(parts)[::2], parts.buffers()[2], pa.large_binary())
+    every = by_word.take(coded.indices)
+    run = _offsets(every) // dtype.itemsize
+    return np.frombuffer(every.buffers()[2] or b"", dtype=dtype)[: run[-1]], run[bounds]
 
 
 def _target(uri: str) -> tuple[fs.FileSystem, str]:
@@ -155,7 +219,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
         offsets, pos, tokens = [], 0, 0
         out = None
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 if out is None:
                     out = where.open_output_stream(f"{name}.rec", buffer_size=1 << 20)
                 ids, bounds = encode_batch(part.column("text"), tokenizer, cache, dtype)
@@ -166,6 +230,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
                     offsets.append(pos)
                     pos += len(r)
                     tokens += bounds[k + 1] - bounds[k] + 1
+                del ids
+                pa.default_memory_pool().release_unused()
         if out is not None:
             out.close()
             with where.open_output_stream(f"{name}.idx") as index:

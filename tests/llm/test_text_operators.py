@@ -69,6 +69,45 @@ def test_other_tokenizers_take_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
 
 
+def test_token_records_forms(monkeypatch):
+    """Tails of punctuation, letters that become a letter and a mark, special strings, a cache that is full, and texts encoded jointly."""
+    t = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    letters = [*"abzESstÄéß×÷ÿĳقñаあ가", "\u0958", "\u0130", "J\u030c", "\u1e9e", "'re", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>"]
+    texts = ["\u0958. x\u0958,", "deep### Deep&&& deep\'s.", "x" * 300 + "!", None, ""]
+    texts += ["".join(rng.choice([*letters, *".,#$&|>*!-_12", " ", "\u0301", "\x85"]) for _ in range(30)) for _ in range(600)]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for most, joined in ((binfmt.CACHE, 256), (50, 3)):
+        monkeypatch.setattr(binfmt, "CACHE", most)
+        monkeypatch.setattr(binfmt, "JOINED", joined, raising=False)
+        cache, got = {}, []
+        for a in range(0, len(texts), 100):
+            ids, bounds = binfmt.encode_batch(pa.array(texts[a : a + 100], pa.string()), t, cache, np.dtype("<u2"))
+            got += [ids[x:y].tolist() for x, y in zip(bounds, bounds[1:])]
+        assert got == want
+
+
+def test_token_records_ask_and_keep_little():
+    """Forms in tails of any punctuation are one, many go to the library together, and little is kept of each."""
+    t = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(t, name)
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return t.encode_batch_fast(texts, **how)
+
+    names = ["".join("aeiouxyz"[(k >> 3 * j) & 7] for j in range(6)) for k in range(20_000)]
+    cache = {}
+    for tail in ("", ".", "###", "&&&!"):
+        binfmt.encode_batch(pa.array([" ".join(x + tail for x in names)]), Counted(), cache, np.dtype("<u2"))
+    assert len(asked) < 200 and sum(len(x.split()) for x in asked) < len(names) + 5
+    assert sum(x.nbytes for x in cache.values()) < 50 * len(names)
+
+
 def test_token_records_round_trip(docs, rows, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokens.load(path)
