@@ -1,8 +1,14 @@
 """The pipeline's stages keep the columns, and each does what its operator says."""
 
 import random
+import tracemalloc
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+
+from lumentick.llm import binfmt, tokens
 
 from . import reference
 from .conftest import sentence
@@ -43,3 +49,19 @@ def test_stages(spark, tmp_path):
     assert d.columns == columns and {r["doc_id"] for r in d.collect()} <= clean
     e = encoded(spark, d, str(tmp_path))
     assert e.count() == d.count()
+
+
+def test_token_records_leave_workers_small():
+    """The last stage runs in workers that earlier stages have filled: no Python objects stay for known forms."""
+    t = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join("".join("aeiouxyz"[(k >> 3 * j) & 7] for j in range(6)) for k in range(40_000))
+    cache = {}
+    binfmt.encode_batch(pa.array(["a"]), t, cache, np.dtype("<u2"))
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        n = len(binfmt.encode_batch(pa.array([text]), t, cache, np.dtype("<u2"))[0])
+        held = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert n >= 40_000 and held < 2_000_000
